@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import leaks, spans
+from terrane.llm import clusters, leaks, mixing, spans
 from terrane.session import load
 
 QUERIES: dict = {}
@@ -52,3 +52,63 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per leaked item: how many documents hold it and how much of it at most."""
     found = leaks.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "eval_item"))
     return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("n_windows").alias("most_windows"))
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target sources that fall short even when used max_repeats times."""
+    _, report = mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))
+    return report.filter("short").select("source")
+
+
+@query
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Goal, tokens reached and share of each source of the mix."""
+    return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))[1]
+
+
+@query
+def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used in the mix."""
+    return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))[0]
+
+
+_P4_FIELDS = ("rhoticity", "goose_f2", "trap_bath", "vot_ms")
+
+
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scale = load(spark, sf_dir, "accent_feature").filter(F.col("key").isin(*_P4_FIELDS)).select(
+        "key", F.col("lo").cast("double"), F.col("hi").cast("double")).collect()
+    limits = {r.key: (r.lo, r.hi) for r in scale}
+    return clusters.grouped(load(spark, sf_dir, "seed_site"), "id", {f: limits[f] for f in _P4_FIELDS})
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each grouped record with the least id of its group."""
+    return clusters.members(_p4(spark, sf_dir))
+
+
+@query
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical sites of each group."""
+    return clusters.described(_p4(spark, sf_dir))
+
+
+SQL["p4_found"] = """
+WITH RECURSIVE lim AS (SELECT key, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE) AS hi FROM accent_feature), r AS (
+  SELECT DISTINCT s.id, (s.rhoticity - a.lo) / (a.hi - a.lo) AS x, (s.goose_f2 - b.lo) / (b.hi - b.lo) AS y,
+         (s.trap_bath - c.lo) / (c.hi - c.lo) AS z, (s.vot_ms - d.lo) / (d.hi - d.lo) AS w
+  FROM seed_site s, lim a, lim b, lim c, lim d
+  WHERE a.key = 'rhoticity' AND b.key = 'goose_f2' AND c.key = 'trap_bath' AND d.key = 'vot_ms'
+    AND s.rhoticity BETWEEN a.lo AND a.hi AND s.goose_f2 BETWEEN b.lo AND b.hi
+    AND s.trap_bath BETWEEN c.lo AND c.hi AND s.vot_ms BETWEEN d.lo AND d.hi
+), e AS (
+  SELECT DISTINCT p.id AS a, q.id AS b FROM r p JOIN r q
+    ON sqrt(((p.x-q.x)**2 + (p.y-q.y)**2 + (p.z-q.z)**2 + (p.w-q.w)**2) / 4) <= 0.10
+), g AS (
+  SELECT id, id AS first_id FROM r UNION SELECT e.b, g.first_id FROM g JOIN e ON e.a = g.id WHERE g.first_id < e.b
+)
+SELECT id, min(first_id) AS first_id FROM g GROUP BY id
+HAVING count(*) > 1 OR id IN (SELECT first_id FROM g WHERE id <> first_id)
+"""
