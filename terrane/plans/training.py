@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrane.functions.geo import haversine_sql
+from terrane.operators import radius_join, wide_table
 from terrane.operators import spikes as _spikes
 from terrane.session import load
 
@@ -62,3 +64,101 @@ WITH f AS (
 SQL["p3_found"] = _P3 + "SELECT DISTINCT utt_id, frame_no, field FROM flagged"
 SQL["p3_source_report"] = _P3 + """
 SELECT source_id, field, count(DISTINCT (utt_id, frame_no)) AS n FROM flagged GROUP BY ALL"""
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of sites at most 1 km apart."""
+    return radius_join.near_pairs(load(spark, sf_dir, "seed_site"), "id").select("id_a", "id_b")
+
+
+@query
+def p1_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each located site with its study area, its number of neighbours within 1 km and their population."""
+    seeds = load(spark, sf_dir, "seed_site")
+    pairs = radius_join.near_pairs(seeds, "id")
+    ends = pairs.select(F.inline(F.array(
+        F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("other")))))
+    people = load(spark, sf_dir, "site").select(F.col("id").alias("other"), "population")
+    near = ends.join(people, "other", "left").groupBy("id").agg(F.count("*").alias("n"), F.sum("population").alias("neighbour_population"))
+    held = radius_join.containing_region(seeds, "id", load(spark, sf_dir, "study_area"))
+    return held.join(near, "id", "left").select("id", "region", F.coalesce("n", F.lit(0)).alias("n_neighbours"), "neighbour_population")
+
+
+_P1 = f"""
+WITH loc AS (
+  SELECT DISTINCT id, CASE WHEN lon > 180 THEN lon - 360 WHEN lon = -180 THEN 180 ELSE lon END AS lon, lat FROM seed_site
+  WHERE id IS NOT NULL AND NOT isnan(lon) AND NOT isnan(lat) AND lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 360
+    AND NOT (lon = 0 AND lat = 0)
+), pairs AS (
+  SELECT DISTINCT a.id AS id_a, b.id AS id_b FROM loc a JOIN loc b ON a.id < b.id AND abs(a.lat - b.lat) < 0.01
+    AND {haversine_sql("a.lon", "a.lat", "b.lon", "b.lat")} <= 1.0
+)"""
+SQL["p1_found"] = _P1 + " SELECT id_a, id_b FROM pairs"
+SQL["p1_shown"] = _P1 + """, ends AS (
+  SELECT id_a AS id, id_b AS other FROM pairs UNION ALL SELECT id_b, id_a FROM pairs
+), near AS (
+  SELECT e.id, count(*) AS n, sum(s.population) AS neighbour_population FROM ends e LEFT JOIN site s ON s.id = e.other GROUP BY e.id
+), edges AS (
+  SELECT id AS region, ring, unnest(ring[1:-2]) AS p, unnest(ring[2:]) AS q FROM (SELECT id, unnest(land) AS ring FROM study_area)
+), inside AS (
+  SELECT loc.id, region FROM loc, edges WHERE (p.y > lat) <> (q.y > lat) AND lon < (q.x - p.x) * (lat - p.y) / (q.y - p.y) + p.x
+  GROUP BY loc.id, loc.lon, loc.lat, region HAVING count(*) % 2 = 1
+)
+SELECT i.id, min(region) AS region, coalesce(max(n), 0) AS n_neighbours, max(neighbour_population) AS neighbour_population
+FROM (SELECT DISTINCT id FROM loc) i LEFT JOIN inside USING (id) LEFT JOIN near USING (id) GROUP BY i.id
+"""
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide_table.wide(load(spark, sf_dir, "site_feature"), load(spark, sf_dir, "site"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filled cells of the wide table."""
+    return wide_table.filled_cells(_wide(spark, sf_dir))
+
+
+@query
+def p2_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One typed row per registered site."""
+    return _wide(spark, sf_dir)
+
+
+_P2 = r"""
+WITH named AS (
+  SELECT site_id, nullif(regexp_replace(lower(regexp_replace(regexp_replace(trim(key), '([\p{Ll}0-9])(\p{Lu})', '\1_\2', 'g'),
+         '[^\p{L}0-9]+', '_', 'g')), '^_+|_+$', '', 'g'), '') AS attr, trim(value) AS v, loaded_at FROM site_feature
+), r AS (
+  SELECT n.site_id, attr, loaded_at, v, CASE WHEN regexp_full_match(v, '[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)?\s*(ms|st|%|index|units)?')
+         THEN TRY_CAST(replace(regexp_replace(v, '\s*(ms|st|%|index|units)$', ''), ',', '.') AS DOUBLE) END AS x,
+         CASE WHEN lower(v) IN ('true','yes','y','t','1') THEN true WHEN lower(v) IN ('false','no','n','f','0') THEN false END AS b,
+         TRY_CAST(CASE WHEN regexp_full_match(v, '[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}') THEN v
+              WHEN regexp_full_match(v, '[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}') THEN replace(v, '/', '-')
+              WHEN regexp_full_match(v, '[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}') THEN regexp_replace(v, '(.*)[.](.*)[.](.*)', '\3-\2-\1')
+              WHEN regexp_full_match(v, '[0-9]{8}') THEN v[1:4] || '-' || v[5:6] || '-' || v[7:8] END AS DATE) AS d,
+         CASE WHEN regexp_full_match(upper(v), '[A-Z][0-9]{3}') THEN upper(v) END AS c
+  FROM named n SEMI JOIN site s ON s.id = n.site_id
+), k AS (
+  SELECT *, CASE WHEN attr IN ('survey_year', 'speaker_count') THEN CASE WHEN x = floor(x) THEN x END
+              WHEN attr IN ('is_urban', 'transcribed') THEN CAST(CAST(b AS INT) AS DOUBLE)
+              WHEN attr = 'first_visit' THEN CAST(d - DATE '1970-01-01' AS DOUBLE)
+              WHEN attr = 'recordist' THEN NULL ELSE x END AS num, CASE WHEN attr = 'recordist' THEN c END AS txt FROM r
+), cell AS (
+  SELECT site_id, attr, arg_max(num, (coalesce(loaded_at, TIMESTAMP '1000-01-01'), num)) AS num, arg_max(txt, (coalesce(loaded_at, TIMESTAMP '1000-01-01'), txt)) AS txt
+  FROM k WHERE attr IS NOT NULL AND (num IS NOT NULL OR txt IS NOT NULL) GROUP BY ALL
+)"""
+SQL["p2_found"] = _P2 + " SELECT site_id, attr FROM cell"
+_RARE = ("breath_rate", "creak_share", "hum_level_db", "lateral_index", "nasal_leak", "tap_rate", "tempo_syl_s", "yod_share")
+_DOUBLES = (
+    "delta_c", "diph_index", "f0_span", "final_rise", "goose_f2", "low_back_merge", "npvi_v", "pct_v", "rhoticity",
+    "t_glottal", "th_shift", "trap_bath", "vot_ms", "vowel_area", *_RARE,
+)
+_MAX = "max(num) FILTER (WHERE attr = '{0}')"
+SQL["p2_wide"] = _P2 + " SELECT site_id, " + ", ".join(
+    [_MAX.format(a) + f" AS {a}" for a in _DOUBLES]
+    + [f"CAST({_MAX.format(a)} AS BIGINT) AS {a}" for a in ("survey_year", "speaker_count")]
+    + [f"CAST({_MAX.format(a)} AS BOOLEAN) AS {a}" for a in ("is_urban", "transcribed")]
+    + [f"DATE '1970-01-01' + CAST({_MAX.format('first_visit')} AS INT) AS first_visit", "max(txt) AS recordist"]
+) + " FROM cell GROUP BY site_id"
