@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.geo import haversine_sql
-from terrane.operators import radius_join, wide_table
+from terrane.operators import impute, radius_join, wide_table
 from terrane.operators import spikes as _spikes
 from terrane.session import load
 
@@ -162,3 +162,45 @@ SQL["p2_wide"] = _P2 + " SELECT site_id, " + ", ".join(
     + [f"CAST({_MAX.format(a)} AS BOOLEAN) AS {a}" for a in ("is_urban", "transcribed")]
     + [f"DATE '1970-01-01' + CAST({_MAX.format('first_visit')} AS INT) AS first_visit", "max(txt) AS recordist"]
 ) + " FROM cell GROUP BY site_id"
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute.fill_sites(*[load(spark, sf_dir, t) for t in ("site", "seed_site", "spatial_model", "accent_feature")])
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The missing cells that were filled."""
+    return _filled(spark, sf_dir).select("tab", "id", "field")
+
+
+@query
+def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every filled cell with its value."""
+    return _filled(spark, sf_dir)
+
+
+@query
+def p5_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sites with languages filled and marked."""
+    return impute.with_flags(load(spark, sf_dir, "site"), "id", "language", _filled(spark, sf_dir), "site", "text").select(
+        "id", "language", "language_filled")
+
+
+SQL["p5_found"] = r"""
+WITH s AS (
+  SELECT id, country, settlement_id, CASE WHEN regexp_full_match(lower(trim(language)), '[a-z]{2}') AND lower(trim(language)) <> 'xx'
+         THEN lower(trim(language)) END AS l FROM site
+), d AS (
+  SELECT id, country, CASE WHEN regexp_full_match(lower(trim(lang)), '[a-z]{2}') AND lower(trim(lang)) <> 'xx' THEN lower(trim(lang)) END AS l,
+         CASE WHEN NOT isnan(low_back_merge) AND low_back_merge BETWEEN 0 AND 1 THEN low_back_merge END AS x FROM seed_site
+), k AS (
+  SELECT key, row_number() OVER (ORDER BY key) AS i FROM accent_feature
+), m AS (
+  SELECT site_id AS id, country, l, key, CASE WHEN NOT isnan(norm_values[i]) AND norm_values[i] BETWEEN 0 AND 1 THEN norm_values[i] END AS x
+  FROM spatial_model JOIN k ON true JOIN s ON s.id = site_id
+)
+SELECT 'site' AS tab, id, 'language' AS field FROM s WHERE l IS NULL AND settlement_id IN (SELECT settlement_id FROM s WHERE l IS NOT NULL)
+UNION SELECT 'seed_site', id, 'low_back_merge' FROM d WHERE x IS NULL AND (country, l) IN (SELECT (country, l) FROM d WHERE x IS NOT NULL AND l IS NOT NULL)
+UNION SELECT 'spatial_model', id, m.key FROM m WHERE x IS NULL AND (country, l, key) IN (SELECT (country, l, key) FROM m WHERE x IS NOT NULL AND l IS NOT NULL)
+"""
