@@ -62,3 +62,26 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
 def without_name_clash(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with those an operator makes."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    import os
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="terrane-"), "terrane_package.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    p = os.path.join(folder, n)
+                    z.write(p, os.path.join("terrane", os.path.relpath(p, root)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
