@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.functions import geometry
-from terrane.functions.geo import haversine_km
+from terrane.functions.geo import haversine_km, in_rings
 from terrane.operators.locate import boxes
 
 #: Margin of an area's box in degrees, reach of a bundle in km.
@@ -28,13 +28,16 @@ def _rings(column) -> list[np.ndarray]:
 def voronoi_edges(points: DataFrame, areas: DataFrame) -> DataFrame:
     """Edges (area, lhs, rhs, x1..y2) of the cells of the places (id, lon, lat) in each area's box, cut to its land.
 
-    lhs < rhs; rhs is null on the coast. A place in several boxes belongs to the first area by id. One task per area,
+    lhs < rhs; rhs is null on the coast. A place in several boxes belongs
+    to the area whose land holds it, else to the first by id; one in no box has no cell. One task per area,
     with the places of that area.
     """
     box = boxes(areas)
     inside = F.col("lon").between(F.col("x0") - MARGIN, F.col("x1") + MARGIN) & F.col("lat").between(F.col("y0") - MARGIN, F.col("y1") + MARGIN)
-    owned = points.select("id", "lon", "lat").join(F.broadcast(box), inside).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("id").orderBy("area"))).filter("rank = 1").select("area", "id", "lon", "lat")
+    lands = areas.select(F.col("id").alias("area"), "land")
+    met = points.select("id", "lon", "lat").join(F.broadcast(box.join(lands, "area")), inside)
+    off = F.when(in_rings(F.col("lon"), F.col("lat"), F.col("land")), 0).otherwise(1)
+    owned = met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(off, "area"))).filter("rank = 1").select("area", "id", "lon", "lat")
 
     def run(left, right):
         out = []
@@ -60,7 +63,6 @@ def voronoi_edges(points: DataFrame, areas: DataFrame) -> DataFrame:
         return pa.Table.from_arrays([pa.array(list(map(str, c)) if k == 0 else list(c), pa.string() if k < 3 else pa.float64()) for k, c in enumerate(cols)],
                                     ["area", "lhs", "rhs", "x1", "y1", "x2", "y2"])
 
-    lands = areas.select(F.col("id").alias("area"), "land")
     return owned.groupBy("area").cogroup(lands.groupBy("area")).applyInArrow(run, _EDGE)
 
 
