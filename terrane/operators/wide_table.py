@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from terrane.session import written
+
 #: Attributes that aren't plain numbers (fixed types of the project); all others are double.
 TYPES = {
     "survey_year": "integer", "speaker_count": "integer", "is_urban": "boolean", "transcribed": "boolean",
@@ -64,12 +66,11 @@ def _of(kind: str) -> list[str]:
 def cells(rows: DataFrame, entities: DataFrame, entity: str, key: str, value: str, order: str, entity_id: str) -> DataFrame:
     """Readable cells (entity, attr, at, number, text) of known entities; number or text holds the value."""
     at = F.coalesce(F.unix_micros(F.col(order).cast("timestamp")), F.lit(-(1 << 62)))
-    raw = rows.select(
-        F.col(entity).cast("string").alias("entity"), snake(F.col(key).cast("string")).alias("attr"), at.alias("at"),
-        F.regexp_replace(F.col(value).cast("string"), r"^\s+|\s+$", "").alias("v"),
-    ).filter("attr IS NOT NULL AND v IS NOT NULL")
     known = entities.select(F.col(entity_id).cast("string").alias("entity")).filter("entity IS NOT NULL").distinct()
-    read = with_number(raw.join(known, "entity", "left_semi"), "v", "x")
+    raw = rows.select(F.col(entity).cast("string").alias("entity"), F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v"), at.alias("at"))
+    raw = raw.filter("k IS NOT NULL AND v IS NOT NULL").join(known, "entity", "left_semi").select(
+        "entity", "at", snake(F.col("k")).alias("attr"), F.regexp_replace("v", r"^\s+|\s+$", "").alias("v"))
+    read = with_number(raw, "v", "x")
     attr, x, v = F.col("attr"), F.col("x"), F.col("v")
     whole = (x == F.floor(x)) & (F.abs(x) < 9e15)
     number = (
@@ -79,7 +80,9 @@ def cells(rows: DataFrame, entities: DataFrame, entity: str, key: str, value: st
         .when(~attr.isin(*_of("code")), x)
     )
     text = F.when(attr.isin(*_of("code")), as_code(v))
-    return read.select("entity", "attr", "at", number.alias("number"), text.alias("text")).filter("number IS NOT NULL OR text IS NOT NULL")
+    # written before it is filtered: a filter on read values would run every pattern again for each of its references
+    typed = written(read.select("entity", "attr", "at", number.alias("number"), text.alias("text")), "typed")
+    return typed.filter("attr IS NOT NULL AND (number IS NOT NULL OR text IS NOT NULL)")
 
 
 def _latest(a: tuple, b: tuple) -> tuple:
