@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrane.session import spread, written
+
 #: Log probability of a pair or symbol a language was never seen with.
 FLOOR = 1e-4
 #: Weights of the unigram, bigram and size terms, and the temperature of the softmax (fixed values).
@@ -20,25 +22,27 @@ def symbols(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, prev, next, n): counted pairs of neighbouring symbols, from shifted arrays without a sort."""
+    """(key, prev, next, n): counted pairs of neighbouring symbols, in one pass of each text."""
     plain = F.regexp_replace(F.lower(F.col(text)), r"[^a-z]+", " ")
     marked = F.concat(F.lit("^"), F.trim(plain), F.lit("$"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length("m") - 1), lambda i: F.substr("m", i, F.lit(2)))
-    return df.filter(F.col(text).isNotNull()).select(key, marked.alias("m")).select(key, F.explode(pairs).alias("pair")).groupBy(
+    pairs = F.regexp_extract_all("m", F.lit("(?=(..))"), F.lit(1))
+    return spread(df.select(key, text)).filter(F.col(text).isNotNull()).select(key, marked.alias("m")).select(key, F.explode(pairs).alias("pair")).groupBy(
         key, F.substring("pair", 1, 1).alias("prev"), F.substring("pair", 2, 1).alias("next")).agg(F.count("*").alias("n"))
 
 
+def _with_logp(counts: DataFrame, keys: list[str]) -> DataFrame:
+    return counts.withColumn("logp", F.log(F.col("n") / F.sum("n").over(Window.partitionBy(*keys))))
+
+
 def bigram_model(df: DataFrame, language: str, text: str) -> DataFrame:
     """(language, prev, next, n, logp): maximum-likelihood transition log probabilities of each language."""
-    counts = bigrams(df.filter(F.col(language).isNotNull()), language, text)
-    total = F.sum("n").over(Window.partitionBy(language, "prev"))
-    return counts.withColumn("logp", F.log(F.col("n") / total))
+    return _with_logp(bigrams(df.filter(F.col(language).isNotNull()), language, text), [language, "prev"])
 
 
 def unigram_model(df: DataFrame, language: str, text: str) -> DataFrame:
-    """(language, symbol, logp)."""
-    counts = bigrams(df.filter(F.col(language).isNotNull()), language, text).groupBy(language, F.col("next").alias("symbol")).agg(F.sum("n").alias("n"))
-    return counts.withColumn("logp", F.log(F.col("n") / F.sum("n").over(Window.partitionBy(language))))
+    """(language, symbol, n, logp)."""
+    counts = bigrams(df.filter(F.col(language).isNotNull()), language, text)
+    return _with_logp(counts.groupBy(language, F.col("next").alias("symbol")).agg(F.sum("n").alias("n")), [language])
 
 
 def identify(df: DataFrame, key: str, text: str, language: str, train: DataFrame) -> DataFrame:
@@ -47,10 +51,11 @@ def identify(df: DataFrame, key: str, text: str, language: str, train: DataFrame
     The models have one row per language and pair of 28 symbols, so joining them multiplies a text's distinct pairs by
     the languages only.
     """
-    own = bigrams(df, key, text)
+    own = written(bigrams(df, key, text), "bigrams")
     languages = train.filter(F.col(language).isNotNull()).groupBy(language).agg(F.count("*").alias("docs"))
-    pair = bigram_model(train, language, text).select(language, "prev", "next", "logp")
-    single = unigram_model(train, language, text).select(language, F.col("symbol").alias("next"), F.col("logp").alias("ulogp"))
+    counts = written(bigrams(train.filter(F.col(language).isNotNull()), language, text), "counts")
+    pair = _with_logp(counts, [language, "prev"]).select(language, "prev", "next", "logp")
+    single = _with_logp(counts.groupBy(language, "next").agg(F.sum("n").alias("n")), [language]).select(language, "next", F.col("logp").alias("ulogp"))
     floor = F.log(F.lit(FLOOR))
     each = own.join(F.broadcast(languages), F.lit(True)).join(F.broadcast(pair), [language, "prev", "next"], "left").join(F.broadcast(single), [language, "next"], "left")
     score = each.groupBy(key, language).agg(

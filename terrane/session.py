@@ -85,3 +85,9 @@ def ship(spark: SparkSession) -> None:
                     z.write(p, os.path.join("terrane", os.path.relpath(p, root)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer parts than the session has cores (few or small files)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
