@@ -92,17 +92,18 @@ def _latest(a: tuple, b: tuple) -> tuple:
 
 def wide(
     rows: DataFrame, entities: DataFrame, entity: str = "site_id", key: str = "key", value: str = "value",
-    order: str = "loaded_at", entity_id: str = "id",
+    order: str = "loaded_at", entity_id: str = "id", always: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per entity with a readable value: the entity column and one typed column per attribute, by name.
 
     Keys and values that are null or unreadable make no cell; of several readable values of a cell the last by ``order``
     (null first, then the greater value) stands. Rows of entities that aren't in ``entities`` are left out. An attribute
-    whose name equals the entity column's gets a trailing underscore.
+    whose name equals the entity column's gets a trailing underscore. Attributes in ``always`` get a column in any case.
     """
     spark = rows.sparkSession
     read = cells(rows, entities, entity, key, value, order, entity_id)
     names = [r.attr for r in read.select("attr").distinct().orderBy("attr").limit(ATTRIBUTES + 1).collect()]
+    names = sorted({*names, *always})
     if len(names) > ATTRIBUTES:
         raise ValueError(f"more than {ATTRIBUTES} attributes")
     kinds = [TYPES.get(n, "double") for n in names]

@@ -110,8 +110,16 @@ FROM (SELECT DISTINCT id FROM loc) i LEFT JOIN inside USING (id) LEFT JOIN near
 """
 
 
+#: Attributes that the wide table shows even where nobody has them.
+_RARE = ("breath_rate", "creak_share", "hum_level_db", "lateral_index", "nasal_leak", "tap_rate", "tempo_syl_s", "yod_share")
+_DOUBLES = (
+    "delta_c", "diph_index", "f0_span", "final_rise", "goose_f2", "low_back_merge", "npvi_v", "pct_v", "rhoticity",
+    "t_glottal", "th_shift", "trap_bath", "vot_ms", "vowel_area", *_RARE,
+)
+
+
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wide_table.wide(load(spark, sf_dir, "site_feature"), load(spark, sf_dir, "site"))
+    return wide_table.wide(load(spark, sf_dir, "site_feature"), load(spark, sf_dir, "site"), always=(*_DOUBLES, *wide_table.TYPES))
 
 
 @query
@@ -150,11 +158,6 @@ WITH named AS (
   FROM k WHERE attr IS NOT NULL AND (num IS NOT NULL OR txt IS NOT NULL) GROUP BY ALL
 )"""
 SQL["p2_found"] = _P2 + " SELECT site_id, attr FROM cell"
-_RARE = ("breath_rate", "creak_share", "hum_level_db", "lateral_index", "nasal_leak", "tap_rate", "tempo_syl_s", "yod_share")
-_DOUBLES = (
-    "delta_c", "diph_index", "f0_span", "final_rise", "goose_f2", "low_back_merge", "npvi_v", "pct_v", "rhoticity",
-    "t_glottal", "th_shift", "trap_bath", "vot_ms", "vowel_area", *_RARE,
-)
 _MAX = "max(num) FILTER (WHERE attr = '{0}')"
 SQL["p2_wide"] = _P2 + " SELECT site_id, " + ", ".join(
     [_MAX.format(a) + f" AS {a}" for a in _DOUBLES]
