@@ -61,7 +61,7 @@ def _equal_next(v: np.ndarray, joined: np.ndarray) -> np.ndarray:
     return joined & (v[1:] == v[:-1])
 
 
-def _check_block(t: pa.Table) -> pa.RecordBatch:
+def _check_block(t: pa.Table, size: int) -> pa.RecordBatch:
     """Drop repeats of a frame, mark impossible and frozen readings, keep the chunk's own frames. Rows sorted by key."""
     utt = t.column("utt_id").combine_chunks().dictionary_encode()
     u = utt.indices.to_numpy(zero_copy_only=False)
@@ -88,36 +88,39 @@ def _check_block(t: pa.Table) -> pa.RecordBatch:
         length = np.diff(np.r_[starts, n])
         bad |= there & np.repeat(length >= FROZEN_RUN, length)
         bits |= np.where(bad, bit, 0).astype(np.int8)
-    own = np.nonzero(frame // CHUNK == chunk)[0]
+    own = np.nonzero(frame // size == chunk)[0]
     t = t.take(pa.array(own)).drop_columns(["chunk"]).append_column("bits", pa.array(bits[own], pa.int8()))
     return t.combine_chunks().to_batches()[0] if len(own) else None
 
 
-def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Run :func:`_check_block` on whole (utterance, chunk) groups of a sorted partition."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows < 60_000:
-            continue
-        t = pa.Table.from_batches(held)
-        utt, chunk = t.column("utt_id"), t.column("chunk").to_numpy()
-        last = t.num_rows - 1
-        u = utt.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        other = np.nonzero((u != u[last]) | (chunk != chunk[last]))[0]
-        if not len(other):
-            continue
-        cut = int(other[-1]) + 1
-        if (out := _check_block(t.slice(0, cut))) is not None:
+def _check(size: int):
+    """Runs :func:`_check_block` on whole (utterance, chunk) groups of a sorted partition."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < 60_000:
+                continue
+            t = pa.Table.from_batches(held)
+            utt, chunk = t.column("utt_id"), t.column("chunk").to_numpy()
+            last = t.num_rows - 1
+            u = utt.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            other = np.nonzero((u != u[last]) | (chunk != chunk[last]))[0]
+            if not len(other):
+                continue
+            cut = int(other[-1]) + 1
+            if (out := _check_block(t.slice(0, cut), size)) is not None:
+                yield out
+            held = t.slice(cut).combine_chunks().to_batches()
+            rows = sum(b.num_rows for b in held)
+        if rows and (out := _check_block(pa.Table.from_batches(held), size)) is not None:
             yield out
-        held = t.slice(cut).combine_chunks().to_batches()
-        rows = sum(b.num_rows for b in held)
-    if rows and (out := _check_block(pa.Table.from_batches(held))) is not None:
-        yield out
+
+    return run
 
 
 def checked_frames(frames: DataFrame) -> DataFrame:
@@ -129,7 +132,7 @@ def checked_frames(frames: DataFrame) -> DataFrame:
     keyed = _readings(frames)
     keys = ["utt_id", "chunk", "frame_no"]
     ordered = keyed.repartition("utt_id", "chunk").sortWithinPartitions(*keys, *FIELDS)
-    return ordered.mapInArrow(_check, _CHECKED)
+    return ordered.mapInArrow(_check(CHUNK), _CHECKED)
 
 
 def bucket(x: Column, width: float = BUCKET_WIDTH) -> Column:
