@@ -4,21 +4,27 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrane.functions.geo import crosses, haversine_km
+from terrane.functions.geometry import corridor_fraction
 from terrane.session import small
 
 #: Kilometres in a degree of latitude on the sphere.
 KM_PER_DEGREE = math.pi * 6371.0088 / 180
 #: Fixed values of the model: exponents, floor of the distance, reach, and the share a corridor takes off.
 ALPHA, GAMMA, FLOOR_KM, MAX_KM, CORRIDOR_SHARE = 0.5, 2.0, 5.0, 2500.0, 0.45
+#: Points of all corridors at most.
+CORRIDOR_POINTS = 10_000
 
 
-def gravity(pa: Column, pb: Column, km: Column, alpha: float = ALPHA, gamma: float = GAMMA, floor: float = FLOOR_KM) -> Column:
+def gravity(people_a: Column, people_b: Column, km: Column, alpha: float = ALPHA, gamma: float = GAMMA, floor: float = FLOOR_KM) -> Column:
     """(Pa Pb)**alpha / max(km, floor)**gamma."""
-    return F.pow(pa, F.lit(alpha)) * F.pow(pb, F.lit(alpha)) / F.pow(F.greatest(km, F.lit(floor)), F.lit(gamma))
+    return F.pow(people_a, F.lit(alpha)) * F.pow(people_b, F.lit(alpha)) / F.pow(F.greatest(km, F.lit(floor)), F.lit(gamma))
 
 
 def effective_km(km: Column, resistance: Column, corridor: Column) -> Column:
@@ -72,6 +78,32 @@ def resistance(pairs: DataFrame, barriers: DataFrame, per_segment: bool = False)
         "crossed", F.coalesce("crossed", F.lit(0)).cast("long"))
 
 
+def corridor_share(pairs: DataFrame, corridors: DataFrame) -> DataFrame:
+    """``pairs`` with ``corridor``: the share of the straight line within any corridor's width, at most 1.
+
+    ``corridors`` (line array<struct<x, y>>, width in degrees) is a dimension table: its points are counted, and beyond
+    CORRIDOR_POINTS it is refused, for every pair meets every corridor.
+    """
+    lines = [(np.array([(p["x"], p["y"]) for p in r["line"]], float), float(r["width"])) for r in corridors.limit(CORRIDOR_POINTS).collect() if r["line"]]
+    if sum(len(line) for line, _ in lines) > CORRIDOR_POINTS:
+        raise ValueError(f"corridors have more than {CORRIDOR_POINTS} points")
+
+    def run(batches):
+        for b in batches:
+            a = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("alon", "alat")], 1)
+            z = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("blon", "blat")], 1)
+            total = np.zeros(b.num_rows)
+            for line, width in lines:
+                lo, hi = line.min(0) - width, line.max(0) + width
+                near = ((np.minimum(a, z) <= hi) & (np.maximum(a, z) >= lo)).all(1)
+                for k in np.nonzero(near)[0]:
+                    total[k] += corridor_fraction(a[k], z[k], line, width)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.minimum(1.0, total))], [*b.schema.names, "corridor"])
+
+    schema = T.StructType([*pairs.schema.fields, T.StructField("corridor", T.DoubleType())])
+    return pairs.mapInArrow(run, schema)
+
+
 def ancestry_pairs(links: DataFrame) -> DataFrame:
     """(a, b, ancestry): links (parent_id, child_id, weight) whichever way they point, the greatest weight per pair."""
     return links.groupBy(F.least("parent_id", "child_id").alias("a"), F.greatest("parent_id", "child_id").alias("b")).agg(F.max("weight").alias("ancestry"))

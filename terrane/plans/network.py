@@ -298,3 +298,17 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     from terrane.sources import geojson
 
     return geojson.features(load(spark, sf_dir, "study_area"), "land", ["id", "name"])
+
+
+@query()
+def corridor_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Effective distance where the straight line runs along a corridor, here from each country's largest place to the next."""
+    from pyspark.sql.window import Window
+
+    s = load(spark, sf_dir, "settlement")
+    top = s.withColumn("rank", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("population"), "id"))).filter("rank <= 3")
+    lines = top.groupBy("country").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("line"))
+    pairs = gravity.pairs_within(s)
+    c = gravity.corridor_share(pairs, lines.filter("size(line) >= 2").select("line", F.lit(0.3).alias("width")))
+    return c.filter("corridor > 0").select("a", "b", F.round("corridor", 6).alias("corridor"),
+                                           F.round(gravity.effective_km(F.col("km"), F.lit(0.0), F.col("corridor")), 6).alias("effective"))
