@@ -172,39 +172,57 @@ def point_polyline(p: np.ndarray, line: np.ndarray) -> np.ndarray:
     return np.min([point_segment(p, a, b) for a, b in zip(line[:-1], line[1:])], axis=0)
 
 
-def capsule_interval(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, width: float):
-    """(t0, t1) of the part of segment ab within ``width`` of segment pq, or None. The distance is convex along ab, so
-    its least point and two bisections give the ends."""
-    def f(t):
-        return point_segment(np.atleast_2d(a + (b - a) * t), p, q)[0]
-
-    lo, hi = 0.0, 1.0
-    for _ in range(100):
-        m1, m2 = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-        lo, hi = (lo, m2) if f(m1) < f(m2) else (m1, hi)
-    best = (lo + hi) / 2
-    if f(best) > width:
-        return None
-    ends = []
-    for edge in (0.0, 1.0):
-        if f(edge) <= width:
-            ends.append(edge)
-            continue
-        inner, outer = best, edge
-        for _ in range(60):
-            mid = (inner + outer) / 2
-            inner, outer = (mid, outer) if f(mid) <= width else (inner, mid)
-        ends.append(inner)
-    return ends[0], ends[1]
-
-
-def corridor_fraction(a: np.ndarray, b: np.ndarray, line: np.ndarray, width: float) -> float:
-    """Share of segment ab that runs within ``width`` of a polyline."""
-    spans = sorted(s for p, q in zip(line[:-1], line[1:]) if (s := capsule_interval(a, b, p, q, width)))
-    total, reach = 0.0, 0.0
-    for s, e in spans:
-        total += max(0.0, e - max(s, reach))
-        reach = max(reach, e)
+def _slab(x: np.ndarray, step: np.ndarray, low: float, high: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of t where low <= x + t step <= high."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s, e = (low - x) / step, (high - x) / step
+    flat, inside = step == 0, (x >= low) & (x <= high)
+    s, e = np.minimum(s, e), np.maximum(s, e)
+    return np.where(flat, np.where(inside, -np.inf, np.inf), s), np.where(flat, np.where(inside, np.inf, -np.inf), e)
+
+
+def capsule_intervals(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges (t0, t1) of each segment ab (rows of a and b) within ``width`` of segment pq; t0 > t1 where there is none.
+
+    The neighbourhood is a rectangle between two discs and convex, so the range spans what the three cut out.
+    """
+    d = b - a
+    t0, t1 = np.full(len(a), np.inf), np.full(len(a), -np.inf)
+    parts = []
+    for c in (p, q):
+        f = a - c
+        aa, bb, cc = (d * d).sum(1), (d * f).sum(1), (f * f).sum(1) - width * width
+        root = np.sqrt(np.maximum(bb * bb - aa * cc, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lo, hi = (-bb - root) / aa, (-bb + root) / aa
+        hit = (bb * bb - aa * cc >= 0) & (aa > 0)
+        point = (aa == 0) & (cc <= 0)
+        parts.append((np.where(hit, lo, np.where(point, 0.0, np.inf)), np.where(hit, hi, np.where(point, 1.0, -np.inf))))
+    e = q - p
+    long = np.sqrt(e @ e)
+    if long > 0:
+        u, v = e / long, np.array([-e[1], e[0]]) / long
+        s1, e1 = _slab((a - p) @ u, d @ u, 0.0, long)
+        s2, e2 = _slab((a - p) @ v, d @ v, -width, width)
+        parts.append((np.maximum(s1, s2), np.minimum(e1, e2)))
+    for lo, hi in parts:
+        lo, hi = np.maximum(lo, 0.0), np.minimum(hi, 1.0)
+        some = lo <= hi
+        t0, t1 = np.where(some, np.minimum(t0, lo), t0), np.where(some, np.maximum(t1, hi), t1)
+    return t0, t1
+
+
+def corridor_fraction(a: np.ndarray, b: np.ndarray, line: np.ndarray, width: float) -> np.ndarray:
+    """Share of each segment ab (rows of a and b) that runs within ``width`` of a polyline."""
+    a, b = np.atleast_2d(a), np.atleast_2d(b)
+    spans = np.stack([np.stack(capsule_intervals(a, b, p, q, width), 1) for p, q in zip(line[:-1], line[1:])], 1)
+    order = np.argsort(spans[:, :, 0], axis=1)
+    spans = np.take_along_axis(spans, order[:, :, None], 1)
+    total, reach = np.zeros(len(a)), np.zeros(len(a))
+    for k in range(spans.shape[1]):
+        s, e = spans[:, k, 0], spans[:, k, 1]
+        total += np.where(s <= e, np.maximum(0.0, e - np.maximum(s, reach)), 0.0)
+        reach = np.maximum(reach, e)
     return total
 
 

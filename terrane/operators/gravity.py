@@ -94,10 +94,7 @@ def corridor_share(pairs: DataFrame, corridors: DataFrame) -> DataFrame:
             z = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in ("blon", "blat")], 1)
             total = np.zeros(b.num_rows)
             for line, width in lines:
-                lo, hi = line.min(0) - width, line.max(0) + width
-                near = ((np.minimum(a, z) <= hi) & (np.maximum(a, z) >= lo)).all(1)
-                for k in np.nonzero(near)[0]:
-                    total[k] += corridor_fraction(a[k], z[k], line, width)
+                total += corridor_fraction(a, z, line, width)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.minimum(1.0, total))], [*b.schema.names, "corridor"])
 
     schema = T.StructType([*pairs.schema.fields, T.StructField("corridor", T.DoubleType())])
