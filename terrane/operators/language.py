@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrane.session import spread, written
+from terrane.session import small, spread, written
 
 #: Log probability of a pair or symbol a language was never seen with.
 FLOOR = 1e-4
@@ -57,7 +57,7 @@ def identify(df: DataFrame, key: str, text: str, language: str, train: DataFrame
     pair = _with_logp(counts, [language, "prev"]).select(language, "prev", "next", "logp")
     single = _with_logp(counts.groupBy(language, "next").agg(F.sum("n").alias("n")), [language]).select(language, "next", F.col("logp").alias("ulogp"))
     floor = F.log(F.lit(FLOOR))
-    each = own.join(F.broadcast(languages), F.lit(True)).join(F.broadcast(pair), [language, "prev", "next"], "left").join(F.broadcast(single), [language, "next"], "left")
+    each = own.join(small(languages, 32), F.lit(True)).join(small(pair, 64), [language, "prev", "next"], "left").join(small(single, 48), [language, "next"], "left")
     score = each.groupBy(key, language).agg(
         (F.sum(F.col("n") * F.coalesce("ulogp", floor)) / F.sum("n")).alias("u"), (F.sum(F.col("n") * F.coalesce("logp", floor)) / F.sum("n")).alias("b"),
         F.max("docs").alias("docs"))
