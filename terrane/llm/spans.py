@@ -47,13 +47,16 @@ def _chosen(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
 
 
 def _thinned(at: np.ndarray, h: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """In periodic text one line repeats at once: keep the first, the last and one for every CONTEXT characters."""
+    """In periodic text one line repeats at once. Those less than CONTEXT characters from either end of such a run are all
+    kept. The others see the same characters around them, so one for every CONTEXT characters and the last stand for all."""
     if not len(at):
         return np.zeros(0, bool)
     new = np.r_[True, (h[1:] != h[:-1]) | (which[1:] != which[:-1])]
     starts = np.nonzero(new)[0]
-    offset = (at - np.repeat(at[starts], np.diff(np.r_[starts, len(at)]))) // CONTEXT
-    return new | np.r_[new[1:], True] | np.r_[True, offset[1:] != offset[:-1]]
+    sizes = np.diff(np.r_[starts, len(at)])
+    ahead, behind = at - np.repeat(at[starts], sizes), np.repeat(at[starts + sizes - 1], sizes) - at
+    edge, part = (ahead < CONTEXT) | (behind < CONTEXT), ahead // CONTEXT
+    return edge | np.r_[True, edge[:-1] | (part[1:] != part[:-1])] | np.r_[edge[1:], True]
 
 
 def _codes(text: str) -> np.ndarray:
