@@ -18,9 +18,9 @@ START, ORIGIN, CLIP = 1e-4, 0.97, 30.0
 
 
 def spread_weights(edges: DataFrame, regime: str) -> DataFrame:
-    """(x, y, w): row-normalised influence of y on x, both ways of each edge (a, b, ap, bp, km, resistance)."""
+    """(x, y, w): row-normalised influence of y on x, both ways of each edge (a, b, ap, bp, km, resistance, corridor)."""
     alpha, gamma, _ = REGIMES[regime]
-    km = F.greatest(effective_km(F.col("km"), F.col("resistance"), F.lit(0.0)), F.lit(5.0))
+    km = F.greatest(effective_km(F.col("km"), F.col("resistance"), F.col("corridor")), F.lit(5.0))
     pull = F.pow(F.col("ap"), F.lit(alpha)) * F.pow(F.col("bp"), F.lit(alpha)) / F.pow(km, F.lit(gamma))
     both = edges.withColumn("pull", pull).select(F.inline(F.array(
         F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "pull"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), "pull"))))

@@ -106,14 +106,18 @@ def ancestry_pairs(links: DataFrame) -> DataFrame:
     return links.groupBy(F.least("parent_id", "child_id").alias("a"), F.greatest("parent_id", "child_id").alias("b")).agg(F.max("weight").alias("ancestry"))
 
 
-def interaction_edges(points: DataFrame, barriers: DataFrame, links: DataFrame, max_km: float = MAX_KM) -> DataFrame:
-    """(a, b, km, effective, crossed, ancestry, weight): edges within reach or joined by ancestry."""
+def interaction_edges(points: DataFrame, barriers: DataFrame, links: DataFrame, max_km: float = MAX_KM, corridors: DataFrame | None = None) -> DataFrame:
+    """(a, b, km, effective, crossed, corridor, ancestry, weight): edges within reach or joined by ancestry.
+
+    Without ``corridors`` (see corridor_share) no line runs along one.
+    """
     world = math.pi * 6371.0088 + 1
     kin = ancestry_pairs(links)
     near = pairs_within(points, max_km)
     far = pairs_within(points.join(kin.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), world).join(kin, ["a", "b"], "left_semi")
     pairs = near.unionByName(far).dropDuplicates(["a", "b"])
+    pairs = pairs.withColumn("corridor", F.lit(0.0)) if corridors is None else corridor_share(pairs, corridors)
     edges = resistance(pairs, barriers).join(kin, ["a", "b"], "left")
-    edges = edges.withColumn("effective", effective_km(F.col("km"), F.col("resistance"), F.lit(0.0)))
-    return edges.select("a", "b", "km", "effective", "crossed", "ancestry",
+    edges = edges.withColumn("effective", effective_km(F.col("km"), F.col("resistance"), F.col("corridor")))
+    return edges.select("a", "b", "km", "effective", "crossed", "corridor", "ancestry",
                         (gravity(F.col("ap"), F.col("bp"), F.col("effective")) * F.coalesce("ancestry", F.lit(1.0))).alias("weight"))

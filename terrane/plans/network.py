@@ -60,6 +60,16 @@ def _barriers(spark, d):
     return gravity.segments(load(spark, d, "study_area")).withColumn("resistance", 0.1 + 0.05 * F.length("barrier"))
 
 
+def _corridors(spark, d):
+    """A corridor per country, from its largest place to the next two."""
+    from pyspark.sql.window import Window
+
+    s = load(spark, d, "settlement")
+    top = s.withColumn("rank", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("population"), "id"))).filter("rank <= 3")
+    lines = top.groupBy("country").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("line"))
+    return lines.filter("size(line) >= 2").select("line", F.lit(0.3).alias("width"))
+
+
 def _links(spark, d):
     """An ancestry link per country, from its first to its last settlement by id."""
     return load(spark, d, "settlement").groupBy("country").agg(F.min("id").alias("parent_id"), F.max("id").alias("child_id"), F.count("*").alias("n")).filter(
@@ -302,13 +312,14 @@ def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def corridor_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effective distance where the straight line runs along a corridor, here from each country's largest place to the next."""
-    from pyspark.sql.window import Window
-
-    s = load(spark, sf_dir, "settlement")
-    top = s.withColumn("rank", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("population"), "id"))).filter("rank <= 3")
-    lines = top.groupBy("country").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "lon", "lat"))), lambda p: F.struct(p["lon"].alias("x"), p["lat"].alias("y"))).alias("line"))
-    pairs = gravity.pairs_within(s)
-    c = gravity.corridor_share(pairs, lines.filter("size(line) >= 2").select("line", F.lit(0.3).alias("width")))
+    """Effective distance where the straight line runs along a corridor."""
+    c = gravity.corridor_share(gravity.pairs_within(_points(spark, sf_dir)), _corridors(spark, sf_dir))
     return c.filter("corridor > 0").select("a", "b", F.round("corridor", 6).alias("corridor"),
                                            F.round(gravity.effective_km(F.col("km"), F.lit(0.0), F.col("corridor")), 6).alias("effective"))
+
+
+@query()
+def interaction_edges_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The interaction graph with the share of each line that runs along a corridor taken into its effective distance."""
+    e = gravity.interaction_edges(_points(spark, sf_dir), _barriers(spark, sf_dir), _links(spark, sf_dir), corridors=_corridors(spark, sf_dir))
+    return e.select("a", "b", *[F.round(c, 6).alias(c) for c in ("km", "effective", "corridor", "weight")], "crossed", "ancestry")

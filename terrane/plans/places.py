@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,13 +132,14 @@ w AS (SELECT x, y, pull / sum(pull) OVER (PARTITION BY x) AS w FROM bw)"""
 _PULL = "pow(ap, 0.5) * pow(bp, 0.5) / pow(greatest(km * (1 + resistance), 5), 2)"
 
 
-def _edges(spark, d) -> DataFrame:
+def _edges(spark, d, corridors: bool) -> DataFrame:
     pairs = gravity.pairs_within(load(spark, d, "settlement"))
+    pairs = gravity.corridor_share(pairs, network._corridors(spark, d)) if corridors else pairs.withColumn("corridor", F.lit(0.0))
     return gravity.resistance(pairs, network._barriers(spark, d))
 
 
-def _weights(spark, d, regimes=tuple(diffusion.REGIMES)) -> DataFrame:
-    e, out = written(_edges(spark, d), "edges"), None
+def _weights(spark, d, regimes=tuple(diffusion.REGIMES), corridors: bool = False) -> DataFrame:
+    e, out = written(_edges(spark, d, corridors), "edges"), None
     for r in regimes:
         w = diffusion.spread_weights(e, r).select(F.lit(r).alias("regime"), "x", "y", "w")
         out = w if out is None else out.unionByName(w)
@@ -144,9 +147,9 @@ def _weights(spark, d, regimes=tuple(diffusion.REGIMES)) -> DataFrame:
 
 
 @query(_W.format(pull=_PULL) + " SELECT x, y, round(w, 9) AS w FROM w")
-def diffusion_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+def diffusion_graph(spark: SparkSession, sf_dir: str, corridors: bool = False) -> DataFrame:
     """Row-normalised influence between settlements in the hierarchical regime."""
-    return _weights(spark, sf_dir, ("hierarchical",)).select("x", "y", F.round("w", 9).alias("w"))
+    return _weights(spark, sf_dir, ("hierarchical",), corridors).select("x", "y", F.round("w", 9).alias("w"))
 
 
 def _origins(spark, d) -> DataFrame:
@@ -158,8 +161,8 @@ def _origins(spark, d) -> DataFrame:
         F.lit(diffusion.RESISTANCE).alias("resistance"), F.lit(diffusion.IDENTITY).alias("identity"))
 
 
-def _panel(spark, d) -> DataFrame:
-    return diffusion.simulate(load(spark, d, "settlement").select("id", "population"), _weights(spark, d), _origins(spark, d))
+def _panel(spark, d, corridors: bool = False) -> DataFrame:
+    return diffusion.simulate(load(spark, d, "settlement").select("id", "population"), _weights(spark, d, corridors=corridors), _origins(spark, d))
 
 
 _SIM = "WITH RECURSIVE" + _W.format(pull=_PULL).strip()[4:] + """, ids AS (SELECT id, ln(population) AS lp, id = (SELECT arg_max(id, (population, id)) FROM settlement) AS o FROM settlement),
@@ -173,15 +176,15 @@ panel AS (SELECT t, unnest((SELECT list(id ORDER BY id) FROM ids)) AS id, unnest
 
 
 @query(_SIM + " SELECT CAST(t AS INT) AS t, id, round(adoption, 6) AS adoption FROM panel")
-def diffusion_simulate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def diffusion_simulate(spark: SparkSession, sf_dir: str, corridors: bool = False) -> DataFrame:
     """Adoption panel of the hierarchical regime."""
-    return _panel(spark, sf_dir).filter("run = 'hierarchical'").select("t", "id", F.round("adoption", 6).alias("adoption"))
+    return _panel(spark, sf_dir, corridors).filter("run = 'hierarchical'").select("t", "id", F.round("adoption", 6).alias("adoption"))
 
 
 @query()
-def diffusion_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def diffusion_regimes(spark: SparkSession, sf_dir: str, corridors: bool = False) -> DataFrame:
     """Population share of adoption over time in every regime."""
-    return diffusion.shares(_panel(spark, sf_dir), load(spark, sf_dir, "settlement")).withColumn("share", F.round("share", 6))
+    return diffusion.shares(_panel(spark, sf_dir, corridors), load(spark, sf_dir, "settlement")).withColumn("share", F.round("share", 6))
 
 
 _FIRST = _SIM + ", fi AS (SELECT id, min(CASE WHEN adoption >= 0.5 THEN t END) AS first_t FROM panel GROUP BY id)"
@@ -189,16 +192,16 @@ _FIRST = _SIM + ", fi AS (SELECT id, min(CASE WHEN adoption >= 0.5 THEN t END) A
 
 @query(_FIRST + """ SELECT id, CAST(first_t AS INT) AS first_t, CAST(row_number() OVER (ORDER BY first_t ASC NULLS LAST, population DESC, id) AS INT) AS rank
 FROM fi JOIN settlement USING (id)""")
-def adoption_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def adoption_order(spark: SparkSession, sf_dir: str, corridors: bool = False) -> DataFrame:
     """When each settlement adopts, in order."""
-    o = diffusion.adoption_order(_panel(spark, sf_dir), load(spark, sf_dir, "settlement"))
+    o = diffusion.adoption_order(_panel(spark, sf_dir, corridors), load(spark, sf_dir, "settlement"))
     return o.filter("run = 'hierarchical'").select("id", "first_t", "rank")
 
 
 @query(_SIM + " SELECT CAST(t AS INT) AS t, round(sum(adoption * population) / sum(population), 6) AS share FROM panel JOIN settlement USING (id) GROUP BY t")
-def adoption_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+def adoption_share(spark: SparkSession, sf_dir: str, corridors: bool = False) -> DataFrame:
     """Population-weighted adoption of the hierarchical regime."""
-    s = diffusion.shares(_panel(spark, sf_dir), load(spark, sf_dir, "settlement"))
+    s = diffusion.shares(_panel(spark, sf_dir, corridors), load(spark, sf_dir, "settlement"))
     return s.filter("run = 'hierarchical'").select("t", F.round("share", 6).alias("share"))
 
 
@@ -206,11 +209,16 @@ def adoption_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT count(*) AS n, CASE WHEN count(*) >= 5 AND stddev_pop(first_t) >= 1e-9 THEN round(corr(first_t, {haversine_sql('lon', 'lat', 'olon', 'olat')}), 6) END AS by_distance,
 CASE WHEN count(*) >= 5 AND stddev_pop(first_t) >= 1e-9 THEN round(corr(first_t, ln(population)), 6) END AS by_size
 FROM fi JOIN settlement USING (id), ori WHERE first_t IS NOT NULL""")
-def diffusion_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+def diffusion_signature(spark: SparkSession, sf_dir: str, corridors: bool = False) -> DataFrame:
     """Correlation of adoption time with distance and size."""
     s = load(spark, sf_dir, "settlement")
-    order = diffusion.adoption_order(_panel(spark, sf_dir), s)
+    order = diffusion.adoption_order(_panel(spark, sf_dir, corridors), s)
     runs = _origins(spark, sf_dir).select("run", F.col("origin").alias("oid")).join(s.select(F.col("id").alias("oid"), F.col("lon").alias("olon"), F.col("lat").alias("olat")), "oid")
     km = s.join(F.broadcast(runs), F.lit(True)).select("run", "id", haversine_km(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat")).alias("km"))
     g = diffusion.signature(order, s, km).filter("run = 'hierarchical'")
     return g.select("n", F.round("by_distance", 6).alias("by_distance"), F.round("by_size", 6).alias("by_size"))
+
+
+#: The same over the graph that interaction_edges_corridors lists; their SQL leaves corridors out.
+for _f in (diffusion_graph, diffusion_simulate, diffusion_regimes, adoption_order, adoption_share, diffusion_signature):
+    QUERIES[f"{_f.__name__}_corridors"] = partial(_f, corridors=True)
