@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.hashing import mix, window_hashes
+from terrane.llm.hashing import window_hashes
 from terrane.session import small, without_name_clash, written
 
 WORDS = 12
 #: Bits of the item bitmap; its size (2 MB) doesn't depend on the items.
 BITS = 24
-#: Words of the items' vocabulary that are broadcast; with more, words other than numbers, codes and units are literal.
+#: Words of the items' vocabulary that are sent to the tasks, for templates only.
 VOCABULARY = 500_000
 #: Units of measurement (fixed values).
 UNITS = frozenset("ms s hz khz db st km m percent points months semitones".split())
@@ -101,16 +101,16 @@ class Templates:
         return pairs[:, 0], pairs[:, 1]
 
 
-def exact_key(template: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    """Key of windows of ``n`` words by template and slots."""
-    return mix(window_hashes(template, n) ^ (window_hashes(word, n) << np.uint64(1)))
+def _keys(template: np.ndarray, word: np.ndarray, n: int, whole: bool) -> np.ndarray:
+    """Keys of windows of ``n`` words: by template for whole items, else by the folded words, whatever their case and kind."""
+    return window_hashes(template if whole else word, n)
 
 
 def vocabulary(items: DataFrame) -> tuple[set[str], set[str]]:
     """(names, literals) of the items: names are words always written with a capital inside sentences.
 
-    At most VOCABULARY distinct words are brought to the driver; beyond that both are empty, which leaves exact leaks
-    whole and finds fewer re-parameterised ones.
+    At most VOCABULARY distinct words are brought to the driver; more are refused, for without them a word's kind would
+    hang on its capital and re-parameterised items would be missed. Exact leaks don't need the vocabulary.
     """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,7 +131,7 @@ def vocabulary(items: DataFrame) -> tuple[set[str], set[str]]:
         F.max((~F.col("upper")).cast("int")).alias("lower"), F.max((F.col("upper") & ~F.col("opens")).cast("int")).alias("inside")
     ).limit(VOCABULARY + 1).collect()
     if len(found) > VOCABULARY:
-        return set(), set()
+        raise ValueError(f"evaluation items have more than {VOCABULARY} distinct words")
     names = {r.word for r in found if r.inside and not r.lower}
     return names, {r.word for r in found} - names
 
@@ -152,9 +152,9 @@ def _item_windows(t: Templates):
                     continue
                 template, word = t.hashes(tokens)
                 folded = [w.casefold() for w in tokens]
-                for p, key in enumerate(exact_key(template, word, WORDS).view(np.int64).tolist()):
+                for p, key in enumerate(_keys(template, word, WORDS, False).view(np.int64).tolist()):
                     out.append((i, key, False, WORDS, p, " ".join(folded[p : p + WORDS])))
-                whole = int(window_hashes(template, len(tokens)).view(np.int64)[0])
+                whole = int(_keys(template, word, len(tokens), True).view(np.int64)[0])
                 out.append((i, whole, True, len(tokens), 0, " ".join(folded)))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 6, _SCHEMA)], schema=_SCHEMA)
 
@@ -172,7 +172,7 @@ def _document_windows(t: Templates, bitmap: bytes, lengths: list[int], whole: bo
             template, word = t.hashes(tokens)
             out = []
             for n in lengths:
-                keys = exact_key(template, word, n) if not whole else window_hashes(template, n)
+                keys = _keys(template, word, n, whole)
                 slot = (keys >> np.uint64(64 - BITS)).astype(np.int64)
                 at = np.nonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)[0]
                 which = np.searchsorted(bounds, at, "right") - 1
@@ -212,10 +212,10 @@ def _bitmap(windows: DataFrame) -> bytes:
 
 def candidates(documents: DataFrame, items: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
     """(windows of documents, windows of items) to be joined by key: whole items by template, or windows of WORDS words
-    by template and slots."""
+    by the words."""
     items = without_name_clash(items, "item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     documents = without_name_clash(documents, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    t = Templates(*vocabulary(items))
+    t = Templates(*vocabulary(items)) if whole else Templates(set(), set())
     wanted = written(items.mapInArrow(_item_windows(t), _WINDOWS).filter(F.col("whole") == whole), "items")
     lengths = sorted(r.n for r in wanted.select("n").distinct().collect())
     found = documents.mapInArrow(_document_windows(t, _bitmap(wanted), lengths, whole), _WINDOWS)
