@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terrane.llm.hashing import window_hashes
 from terrane.session import small, without_name_clash, written
@@ -74,7 +75,7 @@ class Templates:
     """Word kinds and hashes, the same for a folded word wherever the items' vocabulary holds it."""
 
     def __init__(self, names: set[str], literals: set[str]):
-        self.names, self.literals, self.seen = names, literals, {}
+        self.names, self.literals, self.seen, self.slots = names, literals, {}, {}
 
     def kind(self, cased: str) -> int:
         w = cased.casefold()
@@ -96,14 +97,27 @@ class Templates:
             got = self.seen[cased] = (_hash(kind, w if kind == LITERAL else ""), _hash(9, w))
         return got
 
+    def slot(self, cased: str) -> str:
+        """The folded word of a slot, nothing for a literal, which is the same wherever its template is."""
+        got = self.slots.get(cased)
+        if got is None:
+            if len(self.slots) > 500_000:
+                self.slots.clear()
+            got = self.slots[cased] = "" if self.kind(cased) == LITERAL else cased.casefold()
+        return got
+
     def hashes(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         pairs = np.array([self(t) for t in tokens], np.uint64).reshape(-1, 2)
         return pairs[:, 0], pairs[:, 1]
 
 
-def _keys(template: np.ndarray, word: np.ndarray, n: int, whole: bool) -> np.ndarray:
-    """Keys of windows of ``n`` words: by template for whole items, else by the folded words, whatever their case and kind."""
-    return window_hashes(template if whole else word, n)
+#: What windows are joined by: their words, or their template in whole items or in parts of WORDS words.
+EXACT, WHOLE, PART = "exact", "whole", "part"
+
+
+def _keys(template: np.ndarray, word: np.ndarray, n: int, by: str) -> np.ndarray:
+    """Keys of windows of ``n`` words: by template, or by the folded words whatever their case and kind."""
+    return window_hashes(word if by == EXACT else template, n)
 
 
 def vocabulary(items: DataFrame) -> tuple[set[str], set[str]]:
@@ -136,13 +150,13 @@ def vocabulary(items: DataFrame) -> tuple[set[str], set[str]]:
     return names, {r.word for r in found} - names
 
 
-_WINDOWS = "id long, key long, whole boolean, n int, pos int, text string"
+_WINDOWS = "id long, key long, n int, pos int, text string"
 _SCHEMA = pa.schema([
-    ("id", pa.int64()), ("key", pa.int64()), ("whole", pa.bool_()), ("n", pa.int32()), ("pos", pa.int32()), ("text", pa.string()),
+    ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("text", pa.string()),
 ])
 
 
-def _item_windows(t: Templates):
+def _item_windows(t: Templates, by: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
@@ -151,17 +165,17 @@ def _item_windows(t: Templates):
                 if len(tokens) < WORDS:
                     continue
                 template, word = t.hashes(tokens)
-                folded = [w.casefold() for w in tokens]
-                for p, key in enumerate(_keys(template, word, WORDS, False).view(np.int64).tolist()):
-                    out.append((i, key, False, WORDS, p, " ".join(folded[p : p + WORDS])))
-                whole = int(_keys(template, word, len(tokens), True).view(np.int64)[0])
-                out.append((i, whole, True, len(tokens), 0, " ".join(folded)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 6, _SCHEMA)], schema=_SCHEMA)
+                shown = [w.casefold() if by == EXACT else t.slot(w) for w in tokens]
+                n = len(tokens) if by == WHOLE else WORDS
+                for p, key in enumerate(_keys(template, word, n, by).view(np.int64).tolist()):
+                    if by != PART or not all(shown[p : p + n]):  # placeholders alone say nothing
+                        out.append((i, key, n, p, " ".join(shown[p : p + n])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _SCHEMA)], schema=_SCHEMA)
 
     return run
 
 
-def _document_windows(t: Templates, bitmap: bytes, lengths: list[int], whole: bool):
+def _document_windows(t: Templates, bitmap: bytes, lengths: list[int], by: str):
     """Windows of documents that the bitmap lets through."""
     bits = np.frombuffer(bitmap, np.uint8)
 
@@ -172,14 +186,14 @@ def _document_windows(t: Templates, bitmap: bytes, lengths: list[int], whole: bo
             template, word = t.hashes(tokens)
             out = []
             for n in lengths:
-                keys = _keys(template, word, n, whole)
+                keys = _keys(template, word, n, by)
                 slot = (keys >> np.uint64(64 - BITS)).astype(np.int64)
                 at = np.nonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)[0]
                 which = np.searchsorted(bounds, at, "right") - 1
                 inside = at + n <= bounds[which + 1]
                 for p, k, key in zip(at[inside].tolist(), which[inside].tolist(), keys[at[inside]].view(np.int64).tolist()):
-                    out.append((ids[k], key, whole, n, p - int(bounds[k]), " ".join(w.casefold() for w in tokens[p : p + n])))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 6, _SCHEMA)], schema=_SCHEMA)
+                    out.append((ids[k], key, n, p - int(bounds[k]), " ".join(w.casefold() if by == EXACT else t.slot(w) for w in tokens[p : p + n])))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _SCHEMA)], schema=_SCHEMA)
 
         for b in batches:
             ids, docs, size = [], [], 0
@@ -210,15 +224,14 @@ def _bitmap(windows: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def candidates(documents: DataFrame, items: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """(windows of documents, windows of items) to be joined by key: whole items by template, or windows of WORDS words
-    by the words."""
+def candidates(documents: DataFrame, items: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(windows of documents, windows of items) to be joined by key."""
     items = without_name_clash(items, "item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     documents = without_name_clash(documents, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    t = Templates(*vocabulary(items)) if whole else Templates(set(), set())
-    wanted = written(items.mapInArrow(_item_windows(t), _WINDOWS).filter(F.col("whole") == whole), "items")
+    t = Templates(*vocabulary(items)) if by != EXACT else Templates(set(), set())
+    wanted = written(items.mapInArrow(_item_windows(t, by), _WINDOWS), "items")
     lengths = sorted(r.n for r in wanted.select("n").distinct().collect())
-    found = documents.mapInArrow(_document_windows(t, _bitmap(wanted), lengths, whole), _WINDOWS)
+    found = documents.mapInArrow(_document_windows(t, _bitmap(wanted), lengths, by), _WINDOWS)
     return found, wanted
 
 
@@ -228,7 +241,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     ``n_windows`` counts the item's windows found, ``doc_word`` is the first such word's number in the document. Null
     texts hold nothing; items shorter than WORDS can't be found; repeated rows count once.
     """
-    found, wanted = candidates(documents, items, False)
+    found, wanted = candidates(documents, items, EXACT)
     d = found.select(F.col("id").alias("doc_id"), "key", "pos", "text")
     i = wanted.select(F.col("id").alias("item_id"), "key", "text", F.col("pos").alias("item_word")).distinct()
     return d.join(small(i, 160), ["key", "text"]).groupBy("doc_id", "item_id").agg(
@@ -236,16 +249,28 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def _aligned(documents: DataFrame, items: DataFrame, by: str) -> DataFrame:
+    """(doc_id, item_id, pos, item_word, pairs): windows of one template, with the (there, here) pairs of their slots."""
+    found, wanted = candidates(documents, items, by)
+    d = found.select(F.col("id").alias("doc_id"), "key", "n", "pos", F.split("text", " ").alias("here"))
+    i = wanted.select(F.col("id").alias("item_id"), "key", "n", F.col("pos").alias("item_word"), F.split("text", " ").alias("there")).distinct()
+    return d.join(small(i, 600), ["key", "n"]).select(
+        "doc_id", "item_id", "pos", "item_word", F.array_distinct(F.arrays_zip("there", "here")).alias("pairs"))
+
+
 def reparameterised(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, changed): documents that hold a whole item with other numbers or names, used consistently.
+    """(doc_id, item_id, changed): documents that hold WORDS or more consecutive words of an item, or a whole item, with
+    other numbers or names, used consistently.
 
-    Every word of the item stands for one word of the document throughout; ``changed`` counts the words that differ.
+    Windows that follow one another in both texts are one passage. Every word of the item's passage stands for one word of
+    the document throughout; ``changed`` counts the words that differ, in the passage with the fewest.
     """
-    found, wanted = candidates(documents, items, True)
-    d = found.select(F.col("id").alias("doc_id"), "key", "n", "pos", F.split("text", " ").alias("here"))
-    i = wanted.select(F.col("id").alias("item_id"), "key", "n", F.split("text", " ").alias("there")).distinct()
-    both = d.join(small(i, 600), ["key", "n"])
-    pairs = F.array_distinct(F.arrays_zip("there", "here"))
+    at = Window.partitionBy("doc_id", "item_id", "shift").orderBy("pos")
+    parts = _aligned(documents, items, PART).withColumn("shift", F.col("pos") - F.col("item_word")).drop("item_word")
+    parts = parts.withColumn("run", F.col("pos") - F.dense_rank().over(at)).groupBy("doc_id", "item_id", "shift", "run").agg(
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    both = parts.select("doc_id", "item_id", "pairs").unionByName(_aligned(documents, items, WHOLE).select("doc_id", "item_id", "pairs"))
+    pairs = F.col("pairs")
     consistent = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["there"])))
     changed = F.size(F.filter(pairs, lambda p: p["there"] != p["here"]))
     return both.filter(consistent).withColumn("changed", changed).filter("changed > 0").groupBy("doc_id", "item_id").agg(
