@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions.geo import haversine_sql
 from terrane.operators import features, gravity
+from terrane.operators.radius_join import valid_location
 from terrane.session import load
 
 QUERIES: dict = {}
@@ -127,17 +130,21 @@ def country_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VALID = "NOT isnan({t}.lon) AND NOT isnan({t}.lat) AND {t}.lat BETWEEN -90 AND 90 AND {t}.lon BETWEEN -180 AND 180"
 
 
-def _located(df: DataFrame) -> DataFrame:
+def _located(df: DataFrame, turned: bool = False) -> DataFrame:
+    """Rows on the globe; ``turned`` also takes longitudes up to 360, brought to -180..180, and leaves out (0, 0)."""
+    if turned:
+        x = F.col("lon").cast("double")
+        return df.filter(valid_location(x, F.col("lat").cast("double"))).withColumn("lon", F.when(x > 180, x - 360).otherwise(x))
     return df.filter(~F.isnan("lon") & ~F.isnan("lat") & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180))
 
 
 @query(f"""
 SELECT s.id, arg_min(b.id, (km, b.id)) AS place, round(min(km), 6) AS km FROM (SELECT a.id, b.id AS bid, {_KM} AS km FROM site a, settlement b
 WHERE {_VALID.format(t='a')}) s JOIN settlement b ON b.id = s.bid GROUP BY s.id""")
-def nearest_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nearest_place(spark: SparkSession, sf_dir: str, turned: bool = False) -> DataFrame:
     """The settlement nearest each site."""
     places = load(spark, sf_dir, "settlement").select(F.col("id").alias("place"), F.col("lon").alias("plon"), F.col("lat").alias("plat"))
-    near = features.nearest(_located(load(spark, sf_dir, "site")).select("id", "lon", "lat"), places)
+    near = features.nearest(_located(load(spark, sf_dir, "site"), turned).select("id", "lon", "lat"), places)
     return near.select("id", "place", F.round("km", 6).alias("km"))
 
 
@@ -158,10 +165,10 @@ WITH v AS (SELECT q.id AS q, s.id, s.lon, s.lat, q.lon AS qlon, q.lat AS qlat, g
 z AS (SELECT q, value, pow({haversine_sql('lon', 'lat', 'qlon', 'qlat')} / 180, 2) AS z FROM v WHERE rank <= 24),
 w AS (SELECT q, value, exp(min(z) OVER (PARTITION BY q) - z) AS w FROM z)
 SELECT q, count(*) AS n, round(sum(value * w) / sum(w), 6) AS value FROM w GROUP BY q""")
-def knn_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+def knn_surface(spark: SparkSession, sf_dir: str, turned: bool = False) -> DataFrame:
     """The goose_f2 surface at every settlement, from the 24 nearest sites."""
     queries = load(spark, sf_dir, "settlement").select(F.col("id").alias("q"), F.col("lon").alias("qlon"), F.col("lat").alias("qlat"))
-    sites = _located(_seeds(spark, sf_dir)).filter(F.col("goose_f2").between(0, 1)).select("id", "lon", "lat", F.col("goose_f2").alias("value"))
+    sites = _located(_seeds(spark, sf_dir), turned).filter(F.col("goose_f2").between(0, 1)).select("id", "lon", "lat", F.col("goose_f2").alias("value"))
     return features.neighbourhood_mean(queries, sites).select("q", "n", F.round("value", 6).alias("value"))
 
 
@@ -323,3 +330,8 @@ def interaction_edges_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interaction graph with the share of each line that runs along a corridor taken into its effective distance."""
     e = gravity.interaction_edges(_points(spark, sf_dir), _barriers(spark, sf_dir), _links(spark, sf_dir), corridors=_corridors(spark, sf_dir))
     return e.select("a", "b", *[F.round(c, 6).alias(c) for c in ("km", "effective", "corridor", "weight")], "crossed", "ancestry")
+
+
+#: The same with sites delivered as 0..360 degrees east; the SQL of these leaves longitudes above 180 out.
+for _f in (nearest_place, knn_surface):
+    QUERIES[f"{_f.__name__}_turned"] = partial(_f, turned=True)
