@@ -82,7 +82,7 @@ def boundaries(edges: DataFrame, sides: DataFrame, keys: list[str]) -> DataFrame
     return joined.filter("lside <> rside")
 
 
-def isoglosses(edges: DataFrame, values: DataFrame, scale: DataFrame) -> DataFrame:
+def feature_lines(edges: DataFrame, values: DataFrame, scale: DataFrame) -> DataFrame:
     """(area, key, lhs, rhs, x1..y2): edges between places on either side of the middle of a feature's scale."""
     sides = values.join(F.broadcast(scale.select("key", ((F.col("lo") + F.col("hi")) / 2).alias("middle"))), "key").select(
         "key", "id", (F.col("value") >= F.col("middle")).alias("side"))
@@ -90,7 +90,7 @@ def isoglosses(edges: DataFrame, values: DataFrame, scale: DataFrame) -> DataFra
 
 
 def bundles(lines: DataFrame, reach: float = BUNDLE_KM, least: int = 2) -> DataFrame:
-    """(area, lhs, rhs, n): edges whose middle has isoglosses of at least ``least`` features within reach.
+    """(area, lhs, rhs, n): edges whose middle has boundary lines of at least ``least`` features within reach.
 
     Middles meet segments through latitude bands, an equi-join.
     """

@@ -1,4 +1,4 @@
-"""Queries of the derived layers: cells, isoglosses, bundles, regions, fronts, credible outlines."""
+"""Queries of the derived layers: cells, boundary lines, bundles, regions, fronts, credible outlines."""
 
 from __future__ import annotations
 
@@ -38,16 +38,16 @@ def voronoi_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def isogloss_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length of every feature's isogloss in each area."""
-    lines = regions.isoglosses(_edges(spark, sf_dir), network.settlement_vectors(spark, sf_dir), _scale(spark, sf_dir))
+def boundary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length of every feature's boundary line in each area."""
+    lines = regions.feature_lines(_edges(spark, sf_dir), network.settlement_vectors(spark, sf_dir), _scale(spark, sf_dir))
     return lines.groupBy("area", "key").agg(F.count("*").alias("n"), F.round(F.sum(regions.edge_km()), 3).alias("km"))
 
 
 @query()
-def isogloss_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges where the isoglosses of two or more features run within 35 km."""
-    lines = written(regions.isoglosses(_edges(spark, sf_dir), network.settlement_vectors(spark, sf_dir), _scale(spark, sf_dir)), "lines")
+def boundary_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges where the boundary lines of two or more features run within 35 km."""
+    lines = written(regions.feature_lines(_edges(spark, sf_dir), network.settlement_vectors(spark, sf_dir), _scale(spark, sf_dir)), "lines")
     return regions.bundles(lines).select("area", "lhs", "rhs", "n")
 
 
@@ -94,7 +94,7 @@ def credible_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def derived_layer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every derived layer, in the order they are built."""
-    steps = [("edges", network.interaction_edges), ("cells", voronoi_cells), ("isoglosses", isogloss_lines), ("bundles", isogloss_bundles)]
+    steps = [("edges", network.interaction_edges), ("cells", voronoi_cells), ("lines", boundary_lines), ("bundles", boundary_bundles)]
     out = None
     for step, f in steps:
         n = f(spark, sf_dir).agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -13,6 +15,8 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
 
 _own_folder: str | None = None
+#: Tables made by :func:`written` that haven't been deleted yet.
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,33 +25,70 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where the session names none (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where the session names none.
+
+    A folder of our own lies on this machine, so it is refused unless executors run in this process (tests).
+    """
     global _own_folder
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="terrane-")
     return _own_folder
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back: cuts lineage and survives lost executors."""
+    """``df`` written as a Parquet table in the shared folder and read back: cuts lineage and survives lost executors.
+
+    Tables stay until :func:`discard`, the end of :func:`scratch` or of the process.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/terrane/{label}-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.unregister(_release_all)
+        atexit.register(_release_all)
+    _tables.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(since: int = 0) -> None:
+    """Delete the tables written after the first ``since`` of those that are left."""
+    while len(_tables) > since:
+        _delete(*_tables.pop())
+
+
+def _release_all() -> None:
+    with contextlib.suppress(Exception):  # the session may be gone
+        release()
+
+
+@contextlib.contextmanager
+def scratch():
+    """Deletes what is written inside the block at its end; results must have been consumed by then."""
+    since = len(_tables)
+    try:
+        yield
+    finally:
+        release(since)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for folder in folders:
-        if "/terrane/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for spark, path in [t for t in _tables if any(f.endswith(t[1].split("/terrane/")[1]) for f in folders)]:
+        _tables.remove((spark, path))
+        _delete(spark, path)
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
