@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm import clusters, leaks, mixing, spans
+from terrane.llm import clusters, leaks, lines, mixing, spans
 from terrane.session import load
 
 QUERIES: dict = {}
@@ -35,6 +35,12 @@ def p8_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.removals(load(spark, sf_dir, "documents"))
 
 
+@query
+def p8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that occur again, with the document that keeps them and the offsets to remove elsewhere."""
+    return lines.repeated_units(load(spark, sf_dir, "documents"))
+
+
 @query
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which evaluation items leaked into which document."""
@@ -112,3 +118,32 @@ WITH RECURSIVE lim AS (SELECT key, CAST(lo AS DOUBLE) AS lo, CAST(hi AS DOUBLE)
 SELECT id, min(first_id) AS first_id FROM g GROUP BY id
 HAVING count(*) > 1 OR id IN (SELECT first_id FROM g WHERE id <> first_id)
 """
+
+
+_WINDOWS = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 300),
+w AS (SELECT doc_id, p, md5(text[p:p + 299]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 298)) AS p FROM d)),
+g AS (SELECT h, min(doc_id) AS first FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+s AS (SELECT DISTINCT doc_id, p, first FROM w JOIN g USING (h))"""
+SQL["p8_found"] = _WINDOWS + """, m AS (SELECT DISTINCT h, doc_id FROM w SEMI JOIN g USING (h))
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM m a JOIN m b USING (h) WHERE a.doc_id < b.doc_id"""
+SQL["p8_shared"] = _WINDOWS + """,
+c AS (SELECT doc_id, sum(least(300, coalesce(next - p, 300))) AS shared FROM (
+  SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS next FROM (SELECT DISTINCT doc_id, p FROM s)) GROUP BY doc_id),
+r AS (SELECT doc_id, sum(least(300, coalesce(next - p, 300))) AS removable FROM (
+  SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS next FROM (SELECT DISTINCT doc_id, p FROM s WHERE doc_id > first)) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS INT) AS n_chars, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars, CASE WHEN n > 0 THEN coalesce(shared, 0) / n ELSE 0 END AS share,
+  CAST(coalesce(removable, 0) AS BIGINT) AS removable_chars
+FROM (SELECT doc_id, coalesce(max(length(text)), 0) AS n FROM documents GROUP BY doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN r USING (doc_id)"""
+SQL["p8_removals"] = _WINDOWS + """,
+l AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER o + 300 THEN 0 ELSE 1 END AS opens FROM (SELECT DISTINCT doc_id, p FROM s WHERE doc_id > first) WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+i AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM l)
+SELECT doc_id, CAST(min(p) - 1 AS INT) AS start, CAST(max(p) + 299 AS INT) AS "end" FROM i GROUP BY doc_id, run"""
+SQL["p8_lines"] = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT doc_id, generate_subscripts(parts, 1) AS k, unnest(parts) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM d)),
+o AS (SELECT doc_id, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS start,
+  length(line) AS n, lower(trim(regexp_replace(line, '[ \t\n\v\f\r]+', ' ', 'g'))) AS unit FROM l),
+u AS (SELECT DISTINCT doc_id, start, n, unit FROM o WHERE length(unit) >= 30),
+f AS (SELECT unit, min((doc_id, start)) AS first FROM u GROUP BY unit HAVING count(*) > 1)
+SELECT doc_id, start, CAST(start + n AS INT) AS "end", first[1] AS first_id, (doc_id, start) <> first AS removed FROM u JOIN f USING (unit)"""

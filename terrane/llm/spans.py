@@ -185,23 +185,50 @@ def _compared(occurrences: DataFrame) -> DataFrame:
 
 #: Digest of the span that begins ``a`` characters before the line, null where the text is too short for it.
 _KEY = (
-    f"CASE WHEN {{a}} >= 0 AND length(before) >= {{a}} AND length(onward) >= {LEAST} - {{a}} "
-    f"THEN sha2(concat(right(before, {{a}}), left(onward, {LEAST} - {{a}})), 256) END"
+    f"CASE WHEN length(before) >= a AND length(onward) >= {LEAST} - a "
+    f"THEN sha2(concat(right(before, a), left(onward, {LEAST} - a)), 256) END"
 )
 
 
 def _hot_spans(occurrences: DataFrame) -> DataFrame:
-    """For digests with more occurrences, each span of LEAST characters that holds the line: digest and that of the span
-    one earlier. Only spans found in two or more records remain, so what is left pairs up without false candidates."""
-    hot = occurrences.filter(F.col("n") > GROUP).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(CONTEXT))))
-    spans = hot.select(
-        "doc_id", (F.col("pos") - F.col("a")).alias("start"),
-        F.expr(_KEY.format(a="a")).alias("span"), F.expr(_KEY.format(a="(a - 1)")).alias("earlier"),
-    ).filter(F.col("span").isNotNull())
+    """For digests with more occurrences, each span of LEAST characters around the line that two or more records hold:
+    (doc_id, start, span, first). Spans are named by their SHA-256, so what is left pairs up without false candidates.
+
+    A span has half of CONTEXT more on one side of the line at least, so an occurrence spells out only those spans whose
+    half side, checked first by one hash, is found in another record too. A footer shorter than a span costs two hashes.
+    """
+    half = CONTEXT // 2
+    left = F.when(F.length("before") >= half, F.xxhash64("digest", F.lit(0), F.expr(f"right(before, {half})")))
+    right = F.when(F.length("onward") >= UNIT + half, F.xxhash64("digest", F.lit(1), F.expr(f"substring(onward, {UNIT + 1}, {half})")))
+    hot = occurrences.filter(F.col("n") > GROUP).withColumn("left", left).withColumn("right", right)
+    sides = hot.select("doc_id", F.explode(F.array_compact(F.array("left", "right"))).alias("side")).groupBy("side").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    sides = written(sides.select("side"), "sides")
+    n = sides.count()
+    for side in ("left", "right"):
+        there = small(sides.select(F.col("side").alias(side), F.lit(True).alias(f"{side}_there")), 16, n)
+        hot = hot.join(there, side, "left")
+    offsets = F.array_distinct(F.concat(
+        F.when(F.col("right_there"), F.sequence(F.lit(0), F.lit(half))).otherwise(F.array().cast("array<int>")),
+        F.when(F.col("left_there"), F.sequence(F.lit(half), F.lit(CONTEXT))).otherwise(F.array().cast("array<int>"))))
+    spans = hot.withColumn("a", F.explode(offsets)).select(
+        "doc_id", (F.col("pos") - F.col("a")).alias("start"), F.expr(_KEY).alias("span")).filter("span IS NOT NULL")
     groups = spans.groupBy("span").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     return spans.join(groups.select("span", "first"), "span")
 
 
+def span_classes(hot: DataFrame) -> DataFrame:
+    """(class, doc_id): records by the spans they share, one class for all spans that the same records hold.
+
+    A long shared text has many shifted spans with one set of holders; sets are told apart by their size and two sums of
+    64-bit hashes of the holders, which add up on the map side.
+    """
+    held = hot.select("span", "doc_id").distinct()
+    sums = [F.sum(F.xxhash64("doc_id", F.lit(k)).cast("decimal(20,0)")).alias(f"h{k}") for k in (1, 2)]
+    sets = held.groupBy("span").agg(F.count("*").alias("size"), *sums).groupBy("size", "h1", "h2").agg(F.min("span").alias("span"))
+    return held.join(sets.select("span"), "span").select(F.col("span").alias("class"), "doc_id")
+
+
 def sharing_pairs(documents: DataFrame) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: every two records that share a stretch of at least LEAST characters.
 
@@ -209,12 +236,10 @@ def sharing_pairs(documents: DataFrame) -> DataFrame:
     same text count once; rows without doc_id are left out.
     """
     occurrences = _occurrences(documents)
-    hot = _hot_spans(occurrences).select("doc_id", "span", "earlier").distinct()
-    r = hot.select(F.col("doc_id").alias("doc_b"), "span", F.col("earlier").alias("other"))
-    by_span = hot.select(F.col("doc_id").alias("doc_a"), "span", "earlier").join(r, "span").filter(
-        (F.col("doc_a") < F.col("doc_b")) & ~F.coalesce(F.col("earlier") == F.col("other"), F.lit(False))
-    )
-    return _compared(occurrences).select("doc_a", "doc_b").union(by_span.select("doc_a", "doc_b")).distinct()
+    classes = written(span_classes(_hot_spans(occurrences)), "classes")
+    other = classes.select("class", F.col("doc_id").alias("doc_b"))
+    by_class = classes.withColumnRenamed("doc_id", "doc_a").join(other, "class").filter("doc_a < doc_b")
+    return _compared(occurrences).select("doc_a", "doc_b").union(by_class.select("doc_a", "doc_b")).distinct()
 
 
 def shared_parts(documents: DataFrame) -> DataFrame:
