@@ -2,7 +2,7 @@
 
 Words are runs of letters and digits of the NFKD form without case, accents and format characters. Each word is either
 literal or a slot: a number, a code, a unit or a name. The template of a window has typed placeholders for its slots.
-Windows of documents whose template occurs among the items (a bitmap of fixed size rules out nearly all others) are
+Windows of WORDS words of documents whose template occurs among the items (a bitmap rules out nearly all others) are
 hash-joined to the items' windows; equal slots make a leak, other but consistent slots a re-parameterised item.
 """
 
@@ -18,21 +18,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrane.llm.hashing import window_hashes
+from terrane.llm.hashing import mix, window_hashes
 from terrane.session import small, without_name_clash, written
 
 WORDS = 12
-#: Bits of the item bitmap; its size (2 MB) doesn't depend on the items.
-BITS = 24
-#: Words of the items' vocabulary that are sent to the tasks, for templates only.
-VOCABULARY = 500_000
+#: Bits of the item bitmap: 32 per window of an item between these bounds (128 KB and 16 MB). Beyond, it lets more through.
+LEAST_BITS, MOST_BITS = 20, 27
+#: Bits of each vocabulary filter (4 MB) and hashes per word. A filter is right for the items' own words at any size.
+FILTER_BITS, FILTER_HASHES = 25, 4
 #: Units of measurement (fixed values).
 UNITS = frozenset("ms s hz khz db st km m percent points months semitones".split())
 #: Placeholders by kind of word.
 LITERAL, NUMBER, CODE, UNIT, NAME = range(5)
 
 _WORD = re.compile(r"[^\W_]+")
-_BROKEN = re.compile(r"(?<=[^\W_])[-‐­][^\S\n]*\r?\n\s*(?=[^\W_])")
+_BROKEN = re.compile(r"(?<=[^\W_])[-\u2010][^\S\n]*\r?\n\s*(?=[^\W_])")
+_SOFT = re.compile("\u00ad(?=[^\\S\\n]*\\r?\\n)")
 _SENTENCE = re.compile(r"[.!?:]\W*$")
 
 
@@ -50,12 +51,10 @@ _DROP = _Drop()
 def plain(text: str) -> str:
     """NFKD text without accents and format characters, words broken at a line end joined; case is kept."""
     if not text.isascii():
-        if "­" in text:
-            text = re.sub("­(?![^\\S\\n]*\\r?\\n)", "", text)
-        text = unicodedata.normalize("NFKD", text)
-        text = _BROKEN.sub("", text) if "\n" in text else text
-        return text.translate(_DROP)
-    return _BROKEN.sub("", text) if "-" in text and "\n" in text else text
+        if "\u00ad" in text:
+            text = _SOFT.sub("-", text)
+        text = unicodedata.normalize("NFKD", text).translate(_DROP)
+    return _BROKEN.sub("", text) if "\n" in text else text
 
 
 def words(text: str) -> list[str]:
@@ -71,60 +70,80 @@ def _hash(kind: int, w: str) -> int:
     return h
 
 
+def _at(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether each bit is set in an array of 64-bit words."""
+    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def _bits(bits: np.ndarray) -> int:
+    """Binary logarithm of the bits in such an array."""
+    return len(bits).bit_length() + 5
+
+
 class Templates:
-    """Word kinds and hashes, the same for a folded word wherever the items' vocabulary holds it."""
+    """Word kinds and hashes. The kind of a word of the items depends on the folded word alone, so windows with equal words
+    have equal templates whatever their case; only words that no item has are names by their capital."""
 
-    def __init__(self, names: set[str], literals: set[str]):
-        self.names, self.literals, self.seen, self.slots = names, literals, {}, {}
+    def __init__(self, names: np.ndarray, literals: np.ndarray):
+        self.names, self.literals, self.seen = names, literals, {}
+        self.bits = _bits(names)
 
-    def kind(self, cased: str) -> int:
-        w = cased.casefold()
+    def kind(self, cased: str, w: str, at: np.ndarray) -> int:
         if any(c.isdigit() for c in w):
             return NUMBER if w.isdigit() else CODE
         if w in UNITS:
             return UNIT
-        if w in self.names:
+        if _at(self.names, at).all():
             return NAME
-        return NAME if w not in self.literals and cased[:1].isupper() else LITERAL
+        return LITERAL if _at(self.literals, at).all() or not cased[:1].isupper() else NAME
 
-    def __call__(self, cased: str) -> tuple[int, int]:
-        """(hash of the word in a template, hash of the word itself)."""
+    def __call__(self, cased: str) -> tuple[int, int, bool]:
+        """(hash of the word in a template, hash of the word itself, whether it is literal)."""
         got = self.seen.get(cased)
         if got is None:
-            kind, w = self.kind(cased), cased.casefold()
+            w = cased.casefold()
+            h = _hash(9, w)
+            kind = self.kind(cased, w, filter_slots(np.array([h], np.uint64), self.bits)[0])
             if len(self.seen) > 500_000:
                 self.seen.clear()
-            got = self.seen[cased] = (_hash(kind, w if kind == LITERAL else ""), _hash(9, w))
-        return got
-
-    def slot(self, cased: str) -> str:
-        """The folded word of a slot, nothing for a literal, which is the same wherever its template is."""
-        got = self.slots.get(cased)
-        if got is None:
-            if len(self.slots) > 500_000:
-                self.slots.clear()
-            got = self.slots[cased] = "" if self.kind(cased) == LITERAL else cased.casefold()
+            got = self.seen[cased] = (_hash(kind, w if kind == LITERAL else ""), h, kind == LITERAL)
         return got
 
     def hashes(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = np.array([self(t) for t in tokens], np.uint64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+        """(template, word) hashes of a sequence; each different token is looked at once."""
+        coded = pa.array(tokens, pa.string()).dictionary_encode()
+        pairs = np.array([self(t)[:2] for t in coded.dictionary.to_pylist()], np.uint64).reshape(-1, 2)
+        at = coded.indices.to_numpy()
+        return pairs[at, 0], pairs[at, 1]
+
+    def shown(self, tokens: list[str], by: str) -> list[str]:
+        """The folded words, or only those of slots (nothing for a literal, which is the same wherever its template is)."""
+        return [w.casefold() if by == EXACT or not self(w)[2] else "" for w in tokens]
+
+
+#: How slots are compared: equal, or consistent.
+EXACT, PART = "exact", "part"
 
 
-#: What windows are joined by: their words, or their template in whole items or in parts of WORDS words.
-EXACT, WHOLE, PART = "exact", "whole", "part"
+def filter_slots(h: np.ndarray, bits: int) -> np.ndarray:
+    """Bits of a word's hash in a vocabulary filter of 2**bits bits, a row per word."""
+    k = np.arange(FILTER_HASHES, dtype=np.uint64)
+    return (mix(h[:, None] + k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _keys(template: np.ndarray, word: np.ndarray, n: int, by: str) -> np.ndarray:
-    """Keys of windows of ``n`` words: by template, or by the folded words whatever their case and kind."""
-    return window_hashes(word if by == EXACT else template, n)
+def _gathered(positions: DataFrame, bits: int) -> np.ndarray:
+    """An array of 2**bits bits with those of column ``bit`` (long) set. At most 2**(bits - 6) rows come to the driver."""
+    words = positions.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("set")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
+    return out
 
 
-def vocabulary(items: DataFrame) -> tuple[set[str], set[str]]:
-    """(names, literals) of the items: names are words always written with a capital inside sentences.
+def vocabulary(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Filters (names, literals) of the items' words: names are those always written with a capital inside sentences.
 
-    At most VOCABULARY distinct words are brought to the driver; more are refused, for without them a word's kind would
-    hang on its capital and re-parameterised items would be missed. Exact leaks don't need the vocabulary.
+    Words are classed where they lie; what comes to the driver are two filters of a fixed size.
     """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,21 +160,30 @@ def vocabulary(items: DataFrame) -> tuple[set[str], set[str]]:
                 pa.schema([("word", pa.string()), ("upper", pa.bool_()), ("opens", pa.bool_())]),
             )
 
-    found = items.select("text").mapInArrow(split, "word string, upper boolean, opens boolean").groupBy("word").agg(
-        F.max((~F.col("upper")).cast("int")).alias("lower"), F.max((F.col("upper") & ~F.col("opens")).cast("int")).alias("inside")
-    ).limit(VOCABULARY + 1).collect()
-    if len(found) > VOCABULARY:
-        raise ValueError(f"evaluation items have more than {VOCABULARY} distinct words")
-    names = {r.word for r in found if r.inside and not r.lower}
-    return names, {r.word for r in found} - names
+    bits = FILTER_BITS
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = filter_slots(np.array([_hash(9, w) for w in b.column(0).to_pylist()], np.uint64), bits)
+            name = np.repeat(b.column(1).to_numpy(zero_copy_only=False), FILTER_HASHES)
+            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(name)], ["bit", "name"])
+
+    word = items.select("text").mapInArrow(split, "word string, upper boolean, opens boolean").groupBy("word").agg(
+        (F.max((F.col("upper") & ~F.col("opens")).cast("int")) > F.max((~F.col("upper")).cast("int"))).alias("name"))
+    found = written(word.mapInArrow(slots, "bit long, name boolean").distinct(), "vocabulary")
+    return _gathered(found.filter("name"), bits), _gathered(found.filter("NOT name"), bits)
 
 
-_WINDOWS = "id long, key long, n int, pos int, text string"
+_WINDOWS = "id long, key long, word_key long, pos int, text string"
 _SCHEMA = pa.schema([
-    ("id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("text", pa.string()),
+    ("id", pa.int64()), ("key", pa.int64()), ("word_key", pa.int64()), ("pos", pa.int32()), ("text", pa.string()),
 ])
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _SCHEMA)], schema=_SCHEMA)
+
+
 def _item_windows(t: Templates, by: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,36 +192,38 @@ def _item_windows(t: Templates, by: str):
                 tokens = _WORD.findall(plain(text or ""))
                 if len(tokens) < WORDS:
                     continue
-                template, word = t.hashes(tokens)
-                shown = [w.casefold() if by == EXACT else t.slot(w) for w in tokens]
-                n = len(tokens) if by == WHOLE else WORDS
-                for p, key in enumerate(_keys(template, word, n, by).view(np.int64).tolist()):
-                    if by != PART or not all(shown[p : p + n]):  # placeholders alone say nothing
-                        out.append((i, key, n, p, " ".join(shown[p : p + n])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _SCHEMA)], schema=_SCHEMA)
+                keys = [window_hashes(h, WORDS).view(np.int64).tolist() for h in t.hashes(tokens)]
+                shown = t.shown(tokens, by)
+                for p, (key, word_key) in enumerate(zip(*keys)):
+                    if by == EXACT or not all(shown[p : p + WORDS]):  # placeholders alone say nothing
+                        out.append((i, key, word_key, p, " ".join(shown[p : p + WORDS])))
+            yield _batch(out)
 
     return run
 
 
-def _document_windows(t: Templates, bitmap: bytes, lengths: list[int], by: str):
-    """Windows of documents that the bitmap lets through."""
-    bits = np.frombuffer(bitmap, np.uint8)
+def _document_windows(t: Templates, template_bits: np.ndarray, word_bits: np.ndarray | None, by: str):
+    """Windows of documents that the bitmaps let through: by template, and where slots must be equal also by words."""
+    def passed(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return _at(bits, (keys >> np.uint64(64 - _bits(bits))).astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(ids, docs):
             tokens = [w for d in docs for w in d]
             bounds = np.cumsum([0, *map(len, docs)])
             template, word = t.hashes(tokens)
-            out = []
-            for n in lengths:
-                keys = _keys(template, word, n, by)
-                slot = (keys >> np.uint64(64 - BITS)).astype(np.int64)
-                at = np.nonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)[0]
-                which = np.searchsorted(bounds, at, "right") - 1
-                inside = at + n <= bounds[which + 1]
-                for p, k, key in zip(at[inside].tolist(), which[inside].tolist(), keys[at[inside]].view(np.int64).tolist()):
-                    out.append((ids[k], key, n, p - int(bounds[k]), " ".join(w.casefold() if by == EXACT else t.slot(w) for w in tokens[p : p + n])))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _SCHEMA)], schema=_SCHEMA)
+            keys = window_hashes(template, WORDS)
+            at = np.nonzero(passed(template_bits, keys))[0]
+            words = window_hashes(word, WORDS)
+            if word_bits is not None:
+                at = at[passed(word_bits, words[at])]
+            which = np.searchsorted(bounds, at, "right") - 1
+            inside = at + WORDS <= bounds[which + 1]
+            at, which = at[inside], which[inside]
+            texts = [" ".join(t.shown(tokens[p : p + WORDS], by)) for p in at.tolist()]
+            return pa.RecordBatch.from_arrays([
+                pa.array(np.array(ids, np.int64)[which]), pa.array(keys[at].view(np.int64)), pa.array(words[at].view(np.int64)),
+                pa.array((at - bounds[which]).astype(np.int32)), pa.array(texts, pa.string())], schema=_SCHEMA)
 
         for b in batches:
             ids, docs, size = [], [], 0
@@ -212,26 +242,17 @@ def _document_windows(t: Templates, bitmap: bytes, lengths: list[int], by: str):
     return run
 
 
-def _bitmap(windows: DataFrame) -> bytes:
-    """Bit per leading BITS bits of the keys, gathered in 64-bit words (at most 2**(BITS - 6) rows)."""
-    top = F.shiftrightunsigned("key", 64 - BITS)
-    rows = windows.select((top.bitwiseAND(7)).alias("bit"), F.shiftright(top, 3).alias("byte")).groupBy("byte").agg(
-        F.bit_or(F.expr("shiftleft(1, cast(bit as int))")).alias("bits")
-    ).collect()
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in rows:
-        out[r.byte] = r.bits
-    return out.tobytes()
-
-
 def candidates(documents: DataFrame, items: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """(windows of documents, windows of items) to be joined by key."""
+    """(windows of documents, windows of items) to be joined by the key of their templates."""
     items = without_name_clash(items, "item_id", "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
     documents = without_name_clash(documents, "doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    t = Templates(*vocabulary(items)) if by != EXACT else Templates(set(), set())
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    t = Templates(*vocabulary(items))
     wanted = written(items.mapInArrow(_item_windows(t, by), _WINDOWS), "items")
-    lengths = sorted(r.n for r in wanted.select("n").distinct().collect())
-    found = documents.mapInArrow(_document_windows(t, _bitmap(wanted), lengths, by), _WINDOWS)
+    bits = min(MOST_BITS, max(LEAST_BITS, wanted.count().bit_length() + 5))
+    maps = [_gathered(wanted.select(F.shiftrightunsigned(k, 64 - bits).alias("bit")), bits) for k in ("key", "word_key")]
+    found = documents.mapInArrow(_document_windows(t, maps[0], maps[1] if by == EXACT else None, by), _WINDOWS)
     return found, wanted
 
 
@@ -244,35 +265,32 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     found, wanted = candidates(documents, items, EXACT)
     d = found.select(F.col("id").alias("doc_id"), "key", "pos", "text")
     i = wanted.select(F.col("id").alias("item_id"), "key", "text", F.col("pos").alias("item_word")).distinct()
+    # one template, and all slots (with the literals, against a clash of hashes) equal
     return d.join(small(i, 160), ["key", "text"]).groupBy("doc_id", "item_id").agg(
         F.countDistinct("item_word").alias("n_windows"), F.min("pos").alias("doc_word")
     )
 
 
-def _aligned(documents: DataFrame, items: DataFrame, by: str) -> DataFrame:
-    """(doc_id, item_id, pos, item_word, pairs): windows of one template, with the (there, here) pairs of their slots."""
-    found, wanted = candidates(documents, items, by)
-    d = found.select(F.col("id").alias("doc_id"), "key", "n", "pos", F.split("text", " ").alias("here"))
-    i = wanted.select(F.col("id").alias("item_id"), "key", "n", F.col("pos").alias("item_word"), F.split("text", " ").alias("there")).distinct()
-    return d.join(small(i, 600), ["key", "n"]).select(
-        "doc_id", "item_id", "pos", "item_word", F.array_distinct(F.arrays_zip("there", "here")).alias("pairs"))
-
-
 def reparameterised(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, changed): documents that hold WORDS or more consecutive words of an item, or a whole item, with
-    other numbers or names, used consistently.
+    """(doc_id, item_id, changed, words): documents that hold WORDS or more consecutive words of an item with other numbers
+    or names, used consistently.
 
-    Windows that follow one another in both texts are one passage. Every word of the item's passage stands for one word of
-    the document throughout; ``changed`` counts the words that differ, in the passage with the fewest.
+    Windows of one template that follow one another in both texts are one passage. Every word of the item's passage stands
+    for one word of the document throughout. ``changed`` counts the words that differ, in the passage with the fewest;
+    ``words`` is the length of the longest such passage. Windows of placeholders only say nothing.
     """
+    found, wanted = candidates(documents, items, PART)
+    d = found.select(F.col("id").alias("doc_id"), "key", "pos", F.split("text", " ").alias("here"))
+    i = wanted.select(F.col("id").alias("item_id"), "key", F.col("pos").alias("item_word"), F.split("text", " ").alias("there")).distinct()
+    shift = F.col("pos") - F.col("item_word")
+    parts = d.join(small(i, 300), "key").select(
+        "doc_id", "item_id", "pos", shift.alias("shift"), F.array_distinct(F.arrays_zip("there", "here")).alias("pairs")).distinct()
     at = Window.partitionBy("doc_id", "item_id", "shift").orderBy("pos")
-    parts = _aligned(documents, items, PART).withColumn("shift", F.col("pos") - F.col("item_word")).drop("item_word")
-    parts = parts.withColumn("run", F.col("pos") - F.dense_rank().over(at)).groupBy("doc_id", "item_id", "shift", "run").agg(
-        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    both = parts.select("doc_id", "item_id", "pairs").unionByName(_aligned(documents, items, WHOLE).select("doc_id", "item_id", "pairs"))
+    runs = parts.withColumn("run", F.col("pos") - F.row_number().over(at)).groupBy("doc_id", "item_id", "shift", "run").agg(
+        F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"), (F.count("*") + WORDS - 1).alias("words"))
     pairs = F.col("pairs")
     consistent = F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: p["there"])))
     changed = F.size(F.filter(pairs, lambda p: p["there"] != p["here"]))
-    return both.filter(consistent).withColumn("changed", changed).filter("changed > 0").groupBy("doc_id", "item_id").agg(
-        F.min("changed").alias("changed")
+    return runs.filter(consistent).withColumn("changed", changed).filter("changed > 0").groupBy("doc_id", "item_id").agg(
+        F.min("changed").alias("changed"), F.max("words").alias("words")
     )

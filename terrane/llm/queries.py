@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,3 +149,40 @@ o AS (SELECT doc_id, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_
 u AS (SELECT DISTINCT doc_id, start, n, unit FROM o WHERE length(unit) >= 30),
 f AS (SELECT unit, min((doc_id, start)) AS first FROM u GROUP BY unit HAVING count(*) > 1)
 SELECT doc_id, start, CAST(start + n AS INT) AS "end", first[1] AS first_id, (doc_id, start) <> first AS removed FROM u JOIN f USING (unit)"""
+
+
+def _folds() -> str:
+    """SQL rows (c, r): what becomes of Latin, Greek, Cyrillic, full-width and compatibility characters, by rule."""
+    out = []
+    for cp in [*range(0x80, 0x2500), *range(0xFB00, 0xFB07), *range(0xFE00, 0xFE10), 0xFEFF, *range(0xFF01, 0xFF5F)]:
+        c = chr(cp)
+        r = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) not in ("Cf", "Mn", "Me")).casefold()
+        if r != c and unicodedata.category(c) != "Cn":
+            out.append("({}, '{}')".format(cp, r.replace("'", "''")))
+    return ", ".join(out)
+
+
+_P6 = r"""
+WITH fold(cp, r) AS (VALUES """ + _folds() + r"""),
+raw AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents WHERE doc_id IS NOT NULL UNION SELECT 'i', item_id, text FROM eval_item WHERE item_id IS NOT NULL),
+c AS (SELECT kind, id, row_number() OVER () AS n, regexp_extract_all(regexp_replace(lower(text), chr(173) || '([ \t\f\v\r]*\n)', '-\1', 'g'), '(?s).') AS cs FROM raw WHERE text IS NOT NULL),
+u AS (SELECT kind, id, n, generate_subscripts(cs, 1) AS k, unnest(cs) AS c FROM c),
+t AS (SELECT kind, id, n, string_agg(coalesce(r, c), '' ORDER BY k) AS text FROM u LEFT JOIN fold ON cp = unicode(c) GROUP BY kind, id, n),
+j AS (SELECT kind, id, regexp_replace(regexp_replace(text, '([\pL\pN])[-' || chr(8208) || '][ \t\f\v\r]*\n\s*([\pL\pN])', '\1\2', 'g'),
+  '([\pL\pN])[-' || chr(8208) || '][ \t\f\v\r]*\n\s*([\pL\pN])', '\1\2', 'g') AS text FROM t),
+w AS (SELECT kind, id, regexp_extract_all(text, '[\pL\pN]+') AS ws FROM j),
+p AS (SELECT DISTINCT kind, id, p, array_to_string(ws[p:p + 11], ' ') AS words FROM (SELECT kind, id, ws, unnest(range(1, len(ws) - 10)) AS p FROM w WHERE len(ws) >= 12)),
+hit AS (SELECT d.id AS doc_id, i.id AS item_id, i.p AS item_word FROM p d JOIN p i ON d.words = i.words AND d.kind = 'd' AND i.kind = 'i')"""
+SQL["p6_found"] = _P6 + " SELECT DISTINCT doc_id, item_id FROM hit"
+SQL["p6_report"] = _P6 + """ SELECT item_id, count(*) AS n_docs, max(n) AS most_windows FROM (
+  SELECT doc_id, item_id, count(DISTINCT item_word) AS n FROM hit GROUP BY ALL) GROUP BY item_id"""
+SQL["p7_found"] = """
+WITH d AS (SELECT replace(replace(lower(trim(source)), ' ', '_'), '-', '_') AS key, length(text) AS n FROM documents WHERE text IS NOT NULL),
+s AS (SELECT key, sum(n) AS n FROM d GROUP BY key), t AS (SELECT sum(n) AS n FROM d)
+SELECT source FROM mix_target LEFT JOIN s ON key = replace(replace(lower(trim(source)), ' ', '_'), '-', '_'), t
+WHERE max_repeats * coalesce(s.n, 0) < target_share * t.n"""
+SQL["p4_groups"] = SQL["p4_found"].replace("SELECT id, min(first_id) AS first_id FROM g GROUP BY id", """, l AS (SELECT id, min(first_id) AS first_id FROM g GROUP BY id),
+m AS (SELECT *, avg(x) OVER o AS mx, avg(y) OVER o AS my, avg(z) OVER o AS mz, avg(w) OVER o AS mw FROM r JOIN l USING (id) WINDOW o AS (PARTITION BY first_id)),
+k AS (SELECT first_id, id, round(min((x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2 + (w - mw) ** 2), 12) AS off FROM m GROUP BY first_id, id),
+n AS (SELECT *, row_number() OVER (PARTITION BY first_id ORDER BY off, id) AS rank FROM k)
+SELECT first_id, count(*) AS n_ids, list(id ORDER BY rank) FILTER (WHERE rank <= 3) AS typical FROM n GROUP BY first_id""").split("HAVING")[0]
