@@ -14,9 +14,11 @@ import math
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from terrane.session import written
 
@@ -27,6 +29,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 STEPS, ERROR = 60, 1e-9
 #: Grid of the rounding threshold.
 LEVELS = 4096
+#: Rows of the size histogram (source, tokens, n) up to which the dual is solved where the driver runs (5 MB).
+SIZES = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -89,28 +93,46 @@ def _rate(cap: str, lam: str, scale: str) -> Column:
     return F.when(F.col("tokens") <= 0, 0.0).otherwise(F.least(F.col(cap), F.exp(z)))
 
 
-def _sums(histogram: DataFrame, tilt: DataFrame) -> dict[str, tuple[float, float]]:
-    """Per source: tokens reached and their derivative by the multiplier, at the current multipliers."""
-    t, rate = F.col("tokens") * F.col("n"), _rate("cap", "lam", "scale")
-    slope = F.when(rate < F.col("cap"), t * rate * F.col("tokens") / F.col("scale")).otherwise(0.0)
-    rows = histogram.join(F.broadcast(tilt), "key").groupBy("key").agg(F.sum(t * rate).alias("reached"), F.sum(slope).alias("slope")).collect()
-    return {r["key"]: (r["reached"], r["slope"]) for r in rows}
+def _sums(histogram: DataFrame):
+    """Function from multipliers to, per source, tokens reached and their derivative, in one distributed pass."""
+    def at(wanted: dict[str, dict], lam: dict[str, float]) -> dict[str, tuple[float, float]]:
+        tilt = histogram.sparkSession.createDataFrame(
+            [(k, float(w["cap"]), lam[k], w["scale"]) for k, w in wanted.items()], "key string, cap double, lam double, scale double")
+        t, rate = F.col("tokens") * F.col("n"), _rate("cap", "lam", "scale")
+        slope = F.when(rate < F.col("cap"), t * rate * F.col("tokens") / F.col("scale")).otherwise(0.0)
+        rows = histogram.join(F.broadcast(tilt), "key").groupBy("key").agg(F.sum(t * rate).alias("reached"), F.sum(slope).alias("slope")).collect()
+        return {r["key"]: (r["reached"], r["slope"]) for r in rows}
 
+    return at
 
-def solve(histogram: DataFrame, wanted: dict[str, dict]) -> dict[str, float]:
-    """Multiplier per source by safeguarded Newton steps on the dual, all open sources in one distributed pass per step.
+
+def _sums_here(table: pa.Table):
+    """The same over a small histogram."""
+    key = np.array(table.column("key").to_pylist(), object)
+    size, n = (table.column(c).to_numpy().astype(float) for c in ("tokens", "n"))
+    parts = {k: (size[key == k], n[key == k]) for k in set(key.tolist())}
+
+    def at(wanted, lam):
+        out = {}
+        for k, w in wanted.items():
+            t, m = parts[k]
+            rate = np.minimum(w["cap"], np.exp(np.clip(lam[k] * t / w["scale"], -700, 700)))
+            out[k] = float((t * m * rate).sum()), float(np.where(rate < w["cap"], t * m * rate * t / w["scale"], 0.0).sum())
+        return out
+
+    return at
+
+
+def solve(sums, wanted: dict[str, dict]) -> dict[str, float]:
+    """Multiplier per source by safeguarded Newton steps on the dual, all open sources in one pass of ``sums`` per step.
 
     ``wanted``: key -> {goal, cap, scale}; a goal lies strictly between 0 and what the cap allows.
     """
-    spark = histogram.sparkSession
     lam = dict.fromkeys(wanted, 0.0)
     low, high = dict.fromkeys(wanted, -1e7), dict.fromkeys(wanted, 1e7)
     left = set(wanted)
     for _ in range(STEPS):
-        tilt = spark.createDataFrame(
-            [(k, float(wanted[k]["cap"]), lam[k], wanted[k]["scale"]) for k in left], "key string, cap double, lam double, scale double"
-        )
-        at = _sums(histogram, tilt)
+        at = sums({k: wanted[k] for k in left}, lam)
         for k in list(left):
             reached, slope = at[k]
             miss = reached - wanted[k]["goal"]
@@ -125,57 +147,74 @@ def solve(histogram: DataFrame, wanted: dict[str, dict]) -> dict[str, float]:
     return lam
 
 
-def mixture(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """(copies, report) of a mix of the size of the whole corpus.
+def mixture(documents: DataFrame, targets: DataFrame, path: str = VOCABULARY, reachable: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(copies, report) of a mix of the size of the whole corpus or, if ``reachable``, of the largest size up to that at
+    which every source can have its share.
 
     copies: (doc_id, source, tokens, copies) of every document, 0 copies for those of no target source. report: per
-    target source its tokens, goal, most reachable tokens, tokens reached, share, and ``short`` where even max_repeats
-    copies of each document fall short; such a source is used in full. Rows that repeat a document count as delivered.
+    target source its tokens, goal, most reachable tokens, tokens reached, share, ``short`` where even max_repeats
+    copies of each document fall short (such a source is used in full), and ``largest_total``, the size of mix up to which
+    no source falls short. Rows that repeat a document count as delivered.
     """
     spark = documents.sparkSession
     counted = written(token_counts(documents, path).withColumn("key", source_key(F.col("source"))), "tokens")
-    histogram = written(counted.filter("key IS NOT NULL AND tokens > 0").groupBy("key", "tokens").agg(F.count("*").alias("n")), "sizes")
-    total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     goals = {r["key"]: r for r in _targets(targets)}
     keys = spark.createDataFrame([(k,) for k in goals], "key string")
-    have = {r["key"]: (r["t"], r["d"]) for r in histogram.join(F.broadcast(keys), "key").groupBy("key").agg(
-        F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("d")).collect()}
+    sizes = counted.groupBy("key", "tokens").agg(F.count("*").alias("n"))
+    histogram = written(sizes, "sizes")
+    total = histogram.agg(F.coalesce(F.sum(F.col("tokens") * F.col("n")), F.lit(0))).first()[0]
+    histogram = histogram.filter("tokens > 0").join(F.broadcast(keys), "key")
+    small_ = histogram.count() <= SIZES
+    have = {r["key"]: (r["t"], r["d"]) for r in histogram.groupBy("key").agg(F.sum(F.col("tokens") * F.col("n")).alias("t"), F.sum("n").alias("d")).collect()}
     wanted, rows = {}, []
+    largest = min((g["cap"] * have.get(k, (0, 0))[0] / g["share"] for k, g in goals.items() if g["share"] > 0), default=0.0)
+    total = min(total, largest) if reachable else total
     for k, g in goals.items():
         tokens, docs = have.get(k, (0, 0))
         goal, most = g["share"] * total, g["cap"] * tokens
-        g |= {"tokens": tokens, "goal": goal, "most": most, "short": most < goal}
+        g |= {"tokens": tokens, "goal": goal, "most": most, "short": most < goal * (1 - 1e-12)}
         if 0 < goal < most:
             wanted[k] = {"goal": goal, "cap": g["cap"], "scale": tokens / docs}
-    lam = solve(histogram, wanted) if wanted else {}
+    lam = solve(_sums_here(histogram.toArrow()) if small_ else _sums(histogram), wanted) if wanted else {}
     for k, g in goals.items():  # a source that falls short is used in full, one without a goal not at all
         full = 1e9 if g["goal"] >= g["most"] else -1e9
-        rows.append((k, g["source"], float(g["cap"]) if g["goal"] > 0 else 0.0, lam.get(k, full), wanted[k]["scale"] if k in wanted else 1.0))
-    tilt = spark.createDataFrame(rows, "key string, target string, cap double, lam double, scale double")
+        rows.append((k, g["source"], float(g["cap"]) if g["goal"] > 0 else 0.0, lam.get(k, full), wanted[k]["scale"] if k in wanted else 1.0, float(g["goal"])))
+    tilt = spark.createDataFrame(rows, "key string, target string, cap double, lam double, scale double, goal double")
     rate = F.coalesce(_rate("cap", "lam", "scale"), F.lit(0.0))
     u = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(LEVELS * 1024)) / F.lit(float(LEVELS * 1024))
     rated = counted.join(F.broadcast(tilt), "key", "left").withColumn("rate", F.when(F.col("target").isNull(), 0.0).otherwise(rate)).withColumn(
         "whole", F.floor("rate")).withColumn("gain", F.col("rate") - F.col("whole") - u)
     # a document gets one copy more where its remainder passes the hash by the source's threshold, 0 on average
-    level = F.floor((F.col("gain") + 1) * (LEVELS / 2)).cast("int")
-    steps = rated.filter("target IS NOT NULL AND rate > whole").groupBy("key", level.alias("level")).agg(F.sum("tokens").alias("t"))
-    base = {r["key"]: r["t"] for r in rated.filter("target IS NOT NULL").groupBy("key").agg(F.sum(F.col("tokens") * F.col("whole")).alias("t")).collect()}
-    cut = {k: (float(LEVELS * 2), base.get(k, 0)) for k in goals}
-    reached = dict(base)
-    for r in steps.orderBy("key", F.desc("level")).collect():  # at most LEVELS rows per target source
-        k = r["key"]
-        reached[k] = reached.get(k, 0) + r["t"]
-        if abs(reached[k] - goals[k]["goal"]) < abs(cut[k][1] - goals[k]["goal"]):
-            cut[k] = (float(r["level"]), reached[k])
-    cuts = spark.createDataFrame([(k, c) for k, (c, _) in cut.items()], "key string, cut double")
-    copies = rated.join(F.broadcast(cuts), "key", "left").select(
-        "doc_id", F.col("target").alias("source"), "tokens",
-        (F.col("whole") + F.when((F.col("rate") > F.col("whole")) & (level >= F.col("cut")), 1).otherwise(0)).cast("int").alias("copies"),
-    )
-    got = {k: c[1] for k, c in cut.items()}
+    part = (F.col("rate") > F.col("whole")) & F.col("target").isNotNull()
+    level = F.when(part, F.floor((F.col("gain") + 1) * (LEVELS / 2)).cast("int"))
+    rated = rated.withColumn("level", level)
+    steps = rated.filter("target IS NOT NULL").groupBy("key", "goal", "level").agg(
+        F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("whole")).alias("base"))
+    falling = Window.partitionBy("key").orderBy(F.desc_nulls_first("level"))  # at most LEVELS + 1 rows per source
+    reached = steps.withColumn("reached", F.sum("base").over(Window.partitionBy("key")) + F.sum(
+        F.when(F.col("level").isNull(), 0).otherwise(F.col("t"))).over(falling)).withColumn("level", F.coalesce("level", F.lit(LEVELS * 2)))
+    none = steps.groupBy("key", "goal").agg(F.sum("base").alias("reached")).withColumn("level", F.lit(LEVELS * 2))
+    every = reached.select("key", "goal", "level", "reached").unionByName(none.select("key", "goal", "level", "reached"))
+    cuts = written(every.groupBy("key").agg(F.min_by(F.struct(F.col("level").alias("cut"), "reached", "goal"), F.struct(
+        F.abs(F.col("reached") - F.col("goal")), -F.col("level"))).alias("c")).select("key", "c.*"), "cuts")
+    # the one document whose change of mind brings the source nearest to its goal
+    taken = F.col("level") >= F.col("cut")
+    cut_rows = rated.filter(part).select("key", "doc_id", "tokens", "level").join(F.broadcast(cuts), "key")
+    delta = F.when(taken, -F.col("tokens")).otherwise(F.col("tokens"))
+    miss = F.abs(F.col("reached") + F.col("delta") - F.col("goal"))
+    turn = cut_rows.withColumn("delta", delta).filter(miss < F.abs(F.col("reached") - F.col("goal"))).groupBy("key").agg(
+        F.min_by(F.struct(F.col("doc_id").alias("turned"), "delta"), F.struct(miss, F.col("doc_id"))).alias("t")).select("key", "t.*")
+    cuts = written(cuts.join(turn, "key", "left"), "turns")  # a row per target source
+    more = F.when(part & (taken != (F.col("doc_id") == F.col("turned")).eqNullSafe(True)), 1).otherwise(0)
+    copies = rated.join(F.broadcast(cuts.drop("goal")), "key", "left").select(
+        "doc_id", F.col("target").alias("source"), "tokens", (F.col("whole") + more).cast("int").alias("copies"))
+    key_of = {g["source"]: k for k, g in goals.items()}
+    sums = copies.filter("source IS NOT NULL").groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()  # a row per target source
+    got = dict.fromkeys(goals, 0) | {key_of[r["source"]]: r["t"] or 0 for r in sums}
     size = sum(got.values())
     report = spark.createDataFrame(
-        [(g["source"], g["share"], g["cap"], int(g["tokens"]), float(g["goal"]), int(g["most"]), int(got[k]), got[k] / size if size else 0.0, bool(g["short"])) for k, g in goals.items()],
-        "source string, target_share double, max_repeats int, tokens long, goal double, most long, reached long, share double, short boolean",
+        [(g["source"], g["share"], g["cap"], int(g["tokens"]), float(g["goal"]), int(g["most"]), int(got[k]), got[k] / size if size else 0.0, bool(g["short"]), float(largest))
+         for k, g in goals.items()],
+        "source string, target_share double, max_repeats int, tokens long, goal double, most long, reached long, share double, short boolean, largest_total double",
     )
     return copies, report

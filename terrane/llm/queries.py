@@ -81,14 +81,20 @@ def p7_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"))[0]
 
 
+@query
+def p7_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the largest mix in which every source has its target share."""
+    return mixing.mixture(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_target"), reachable=True)[1]
+
+
 _P4_FIELDS = ("rhoticity", "goose_f2", "trap_bath", "vot_ms")
 
 
-def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _p4(spark: SparkSession, sf_dir: str, closed: bool = True) -> DataFrame:
     scale = load(spark, sf_dir, "accent_feature").filter(F.col("key").isin(*_P4_FIELDS)).select(
         "key", F.col("lo").cast("double"), F.col("hi").cast("double")).collect()
     limits = {r.key: (r.lo, r.hi) for r in scale}
-    return clusters.grouped(load(spark, sf_dir, "seed_site"), "id", {f: limits[f] for f in _P4_FIELDS})
+    return clusters.grouped(load(spark, sf_dir, "seed_site"), "id", {f: limits[f] for f in _P4_FIELDS}, closed=closed)
 
 
 @query
@@ -97,6 +103,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.members(_p4(spark, sf_dir))
 
 
+@query
+def p4_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by average linkage alone: groups whose records are alike on average, chains cut."""
+    return clusters.members(_p4(spark, sf_dir, closed=False))
+
+
 @query
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and most typical sites of each group."""
