@@ -190,6 +190,12 @@ def p5_site(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "language", "language_filled")
 
 
+@query
+def p5_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of the fills on known cells that were hidden, beside that of the group's mean or commonest value."""
+    return impute.held_out(*[load(spark, sf_dir, t) for t in ("site", "seed_site", "spatial_model", "accent_feature")])
+
+
 SQL["p5_found"] = r"""
 WITH s AS (
   SELECT id, country, settlement_id, CASE WHEN regexp_full_match(lower(trim(language)), '[a-z]{2}') AND lower(trim(language)) <> 'xx'
