@@ -11,8 +11,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,20 +34,21 @@ UNITS = frozenset("ms s hz khz db st km m percent points months semitones".split
 LITERAL, NUMBER, CODE, UNIT, NAME = range(5)
 
 _WORD = re.compile(r"[^\W_]+")
-_BROKEN = re.compile(r"(?<=[^\W_])[-\u2010][^\S\n]*\r?\n\s*(?=[^\W_])")
+_BROKEN = re.compile(r"[-\u2010][^\S\n]*\r?\n\s*")
 _SOFT = re.compile("\u00ad(?=[^\\S\\n]*\\r?\\n)")
 _SENTENCE = re.compile(r"[.!?:]\W*$")
 
 
-class _Drop(dict):
-    """Translation table that removes marks and format characters, filled as characters appear."""
+@lru_cache(maxsize=None)
+def _dropped(c: str) -> bool:
+    """Whether a character is a mark or a format character."""
+    return unicodedata.category(c) in ("Cf", "Mn", "Me")
 
-    def __missing__(self, c: int):
-        self[c] = v = None if unicodedata.category(chr(c)) in ("Cf", "Mn", "Me") else c
-        return v
 
-
-_DROP = _Drop()
+def _joined(m: re.Match) -> str:
+    """Nothing for a hyphen at a line end between word characters."""
+    a, b = m.string[m.start() - 1 : m.start()], m.string[m.end() : m.end() + 1]
+    return "" if a.isalnum() and b.isalnum() else m[0]
 
 
 def plain(text: str) -> str:
@@ -53,8 +56,11 @@ def plain(text: str) -> str:
     if not text.isascii():
         if "\u00ad" in text:
             text = _SOFT.sub("-", text)
-        text = unicodedata.normalize("NFKD", text).translate(_DROP)
-    return _BROKEN.sub("", text) if "\n" in text else text
+        text = unicodedata.normalize("NFKD", text)
+        for c in set(text):
+            if c > "\x7f" and _dropped(c):
+                text = text.replace(c, "")
+    return _BROKEN.sub(_joined, text) if "\n" in text else text
 
 
 def words(text: str) -> list[str]:
@@ -62,12 +68,9 @@ def words(text: str) -> list[str]:
     return [w.casefold() for w in _WORD.findall(plain(text))]
 
 
-def _hash(kind: int, w: str) -> int:
-    x = np.frombuffer((f"{kind}:{w}").encode() + b"\0" * 8, np.uint8).astype(np.uint64)
-    h = 0xCBF29CE484222325
-    for b in x.tolist():
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h
+def word_hashes(words_: list[str]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return pd.util.hash_array(np.array(words_, object), categorize=False) if words_ else np.zeros(0, np.uint64)
 
 
 def _at(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -88,37 +91,41 @@ class Templates:
         self.names, self.literals, self.seen = names, literals, {}
         self.bits = _bits(names)
 
-    def kind(self, cased: str, w: str, at: np.ndarray) -> int:
-        if any(c.isdigit() for c in w):
+    def kind(self, cased: str, w: str, name: bool, literal: bool) -> int:
+        if not w.isalpha() and any(c.isdigit() for c in w):
             return NUMBER if w.isdigit() else CODE
         if w in UNITS:
             return UNIT
-        if _at(self.names, at).all():
-            return NAME
-        return LITERAL if _at(self.literals, at).all() or not cased[:1].isupper() else NAME
-
-    def __call__(self, cased: str) -> tuple[int, int, bool]:
-        """(hash of the word in a template, hash of the word itself, whether it is literal)."""
-        got = self.seen.get(cased)
-        if got is None:
-            w = cased.casefold()
-            h = _hash(9, w)
-            kind = self.kind(cased, w, filter_slots(np.array([h], np.uint64), self.bits)[0])
-            if len(self.seen) > 500_000:
-                self.seen.clear()
-            got = self.seen[cased] = (_hash(kind, w if kind == LITERAL else ""), h, kind == LITERAL)
-        return got
+        return NAME if name or not literal and cased[:1].isupper() else LITERAL
+
+    def learn(self, tokens: list[str]) -> None:
+        """Hashes and kinds of tokens not seen before."""
+        new = [t for t in tokens if t not in self.seen]
+        if len(self.seen) + len(new) > 500_000:
+            self.seen.clear()
+            new = tokens
+        folded = [t.casefold() for t in new]
+        h = word_hashes(folded)
+        at = filter_slots(h, self.bits)
+        known = zip(_at(self.names, at).all(1).tolist(), _at(self.literals, at).all(1).tolist())
+        kinds = np.array([self.kind(t, w, *k) for t, w, k in zip(new, folded, known)], np.uint64)
+        template = mix(np.where(kinds == LITERAL, h, kinds))
+        for t, x, y, kind in zip(new, template.tolist(), h.tolist(), kinds.tolist()):
+            self.seen[t] = (x, y, kind == LITERAL)
 
     def hashes(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(template, word) hashes of a sequence; each different token is looked at once."""
         coded = pa.array(tokens, pa.string()).dictionary_encode()
-        pairs = np.array([self(t)[:2] for t in coded.dictionary.to_pylist()], np.uint64).reshape(-1, 2)
+        different = coded.dictionary.to_pylist()
+        self.learn(different)
+        pairs = np.array([self.seen[t][:2] for t in different], np.uint64).reshape(-1, 2)
         at = coded.indices.to_numpy()
         return pairs[at, 0], pairs[at, 1]
 
     def shown(self, tokens: list[str], by: str) -> list[str]:
-        """The folded words, or only those of slots (nothing for a literal, which is the same wherever its template is)."""
-        return [w.casefold() if by == EXACT or not self(w)[2] else "" for w in tokens]
+        """The folded words, or only those of slots (nothing for a literal, which is the same wherever its template is).
+        Tokens have been through ``hashes``."""
+        return [w.casefold() if by == EXACT or not self.seen[w][2] else "" for w in tokens]
 
 
 #: How slots are compared: equal, or consistent.
@@ -164,7 +171,7 @@ def vocabulary(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = filter_slots(np.array([_hash(9, w) for w in b.column(0).to_pylist()], np.uint64), bits)
+            at = filter_slots(word_hashes(b.column(0).to_pylist()), bits)
             name = np.repeat(b.column(1).to_numpy(zero_copy_only=False), FILTER_HASHES)
             yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(name)], ["bit", "name"])
 
