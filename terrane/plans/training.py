@@ -31,6 +31,18 @@ def p3_source_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _spikes.spikes(load(spark, sf_dir, "frames")).groupBy("source_id", "field").agg(F.count("*").alias("n"))
 
 
+@query
+def p3_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the normal values of each source by hour of the day as well."""
+    return _spikes.spikes(load(spark, sf_dir, "frames"), ["speech", "hour"]).select("utt_id", "frame_no", "field")
+
+
+@query
+def p3_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings that changed implausibly since the frame before."""
+    return _spikes.jumps(load(spark, sf_dir, "frames")).select("utt_id", "frame_no", "field")
+
+
 _P3 = """
 WITH f AS (
   SELECT DISTINCT ON (utt_id, frame_no) utt_id, frame_no, source_id, speech, energy, f0, fmt FROM frames
@@ -61,6 +73,14 @@ WITH f AS (
     OR (field = 'fmt' AND (x < 50 OR x > 8000 OR x <= below)))
 )
 """
+SQL["p3_hourly"] = _P3.replace("speech, energy, f0, fmt FROM", "speech, hour(ts) AS hour, energy, f0, fmt FROM").replace(
+    "source_id, speech, ", "source_id, speech, hour, ").replace("source_id, speech, hour, hour(ts) AS hour", "source_id, speech, hour(ts) AS hour").replace(
+    "AND q.pos = s.pos", "AND q.hour IS NOT DISTINCT FROM s.hour AND q.pos = s.pos") + "SELECT DISTINCT utt_id, frame_no, field FROM flagged"
+SQL["p3_jumps"] = _P3.split(", prior AS")[0] + """, c AS (
+  SELECT *, CASE WHEN frame_no = lag(frame_no) OVER w + 1 THEN abs(x - lag(x) OVER w) END AS d FROM r WINDOW w AS (PARTITION BY utt_id, pos ORDER BY frame_no)
+), q AS (SELECT source_id, speech, pos, quantile_cont(d, 0.05) AS lo, quantile_cont(d, 0.95) AS hi FROM c WHERE isfinite(d) GROUP BY ALL)
+SELECT DISTINCT utt_id, frame_no, field FROM c JOIN q ON q.source_id IS NOT DISTINCT FROM c.source_id AND q.speech IS NOT DISTINCT FROM c.speech AND q.pos = c.pos
+WHERE d > hi + (hi - lo)"""
 SQL["p3_found"] = _P3 + "SELECT DISTINCT utt_id, frame_no, field FROM flagged"
 SQL["p3_source_report"] = _P3 + """
 SELECT source_id, field, count(DISTINCT (utt_id, frame_no)) AS n FROM flagged GROUP BY ALL"""
