@@ -84,7 +84,7 @@ def corridor_share(pairs: DataFrame, corridors: DataFrame) -> DataFrame:
     ``corridors`` (line array<struct<x, y>>, width in degrees) is a dimension table: its points are counted, and beyond
     CORRIDOR_POINTS it is refused, for every pair meets every corridor.
     """
-    lines = [(np.array([(p["x"], p["y"]) for p in r["line"]], float), float(r["width"])) for r in corridors.limit(CORRIDOR_POINTS).collect() if r["line"]]
+    lines = [(np.array([(p["x"], p["y"]) for p in r["line"]], float), float(r["width"])) for r in corridors.filter("size(line) > 1").limit(CORRIDOR_POINTS + 1).collect()]
     if sum(len(line) for line, _ in lines) > CORRIDOR_POINTS:
         raise ValueError(f"corridors have more than {CORRIDOR_POINTS} points")
 
@@ -111,11 +111,12 @@ def interaction_edges(points: DataFrame, barriers: DataFrame, links: DataFrame,
 
     Without ``corridors`` (see corridor_share) no line runs along one.
     """
-    world = math.pi * 6371.0088 + 1
     kin = ancestry_pairs(links)
     near = pairs_within(points, max_km)
-    far = pairs_within(points.join(kin.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), world).join(kin, ["a", "b"], "left_semi")
-    pairs = near.unionByName(far).dropDuplicates(["a", "b"])
+    p = points.select("id", *[F.col(c).cast("double").alias(c) for c in ("lon", "lat", "population")]).dropna(subset=["id", "lon", "lat"])
+    ends = [p.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}{t}") for c, t in (("lon", "lon"), ("lat", "lat"), ("population", "p"))]) for s in "ab"]
+    far = kin.select("a", "b").join(ends[0], "a").join(ends[1], "b").withColumn("km", haversine_km(F.col("alon"), F.col("alat"), F.col("blon"), F.col("blat")))
+    pairs = near.unionByName(far.filter(F.col("km") > max_km).select(*near.columns))
     pairs = pairs.withColumn("corridor", F.lit(0.0)) if corridors is None else corridor_share(pairs, corridors)
     edges = resistance(pairs, barriers).join(kin, ["a", "b"], "left")
     edges = edges.withColumn("effective", effective_km(F.col("km"), F.col("resistance"), F.col("corridor")))

@@ -93,14 +93,20 @@ def posterior(cells: DataFrame, loglik: DataFrame, priors: DataFrame) -> DataFra
 def credible_sets(post: DataFrame) -> DataFrame:
     """The posterior with ``level``: the smallest credible set that holds each cell, null outside the largest.
 
-    A set takes cells by falling p until its level is reached, the cell that reaches it included. The grid is bounded.
+    A set takes cells by falling p until its level is reached, the cell that reaches it included. Cells are cumulated
+    within bands of like p, which are cumulated among each other, so no task sorts all cells.
     """
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("p"), "area", "i", "j").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("p").over(w), F.lit(0.0))
+    band = F.when(F.col("p") > 0, F.floor(-F.log("p") * 8)).otherwise(F.lit(1 << 20)).cast("int")
+    banded = post.withColumn("band", band)
+    sums = banded.groupBy("band").agg(F.sum("p").alias("sum"))  # at most 8 * 745 bands
+    lower = sums.withColumn("base", F.coalesce(F.sum("sum").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))).select("band", "base")
+    w = Window.partitionBy("band").orderBy(F.desc("p"), "area", "i", "j").rowsBetween(Window.unboundedPreceding, -1)
+    post = banded.join(F.broadcast(lower), "band")
+    before = F.col("base") + F.coalesce(F.sum("p").over(w), F.lit(0.0))
     level = F.lit(None).cast("double")
     for x in reversed(LEVELS):
         level = F.when(F.col("before") < x, x).otherwise(level)
-    return post.withColumn("before", F.round(before, 12)).withColumn("level", level).drop("before")
+    return post.withColumn("before", F.round(before, 12)).withColumn("level", level).drop("before", "base", "band")
 
 
 def estimate(post: DataFrame) -> DataFrame:

@@ -152,17 +152,17 @@ def diffusion_graph(spark: SparkSession, sf_dir: str, corridors: bool = False) -
     return _weights(spark, sf_dir, ("hierarchical",), corridors).select("x", "y", F.round("w", 9).alias("w"))
 
 
-def _origins(spark, d) -> DataFrame:
+def _origins(spark, d, regimes=tuple(diffusion.REGIMES)) -> DataFrame:
     """A run per regime from the largest settlement."""
     top = load(spark, d, "settlement").agg(F.max_by("id", F.struct("population", "id")).alias("origin"))
-    regimes = spark.createDataFrame([(r, r) for r in diffusion.REGIMES], "run string, regime string")
+    regimes = spark.createDataFrame([(r, r) for r in regimes], "run string, regime string")
     return regimes.join(F.broadcast(top), F.lit(True)).select(
         "run", "regime", "origin", F.lit(diffusion.STEPS).alias("steps"), F.lit(diffusion.RATE).alias("rate"), F.lit(diffusion.CONTACT).alias("contact"),
         F.lit(diffusion.RESISTANCE).alias("resistance"), F.lit(diffusion.IDENTITY).alias("identity"))
 
 
-def _panel(spark, d, corridors: bool = False) -> DataFrame:
-    return diffusion.simulate(load(spark, d, "settlement").select("id", "population"), _weights(spark, d, corridors=corridors), _origins(spark, d))
+def _panel(spark, d, corridors: bool = False, regimes=tuple(diffusion.REGIMES)) -> DataFrame:
+    return diffusion.simulate(load(spark, d, "settlement").select("id", "population"), _weights(spark, d, regimes, corridors), _origins(spark, d, regimes))
 
 
 _SIM = "WITH RECURSIVE" + _W.format(pull=_PULL).strip()[4:] + """, ids AS (SELECT id, ln(population) AS lp, id = (SELECT arg_max(id, (population, id)) FROM settlement) AS o FROM settlement),
@@ -178,7 +178,7 @@ panel AS (SELECT t, unnest((SELECT list(id ORDER BY id) FROM ids)) AS id, unnest
 @query(_SIM + " SELECT CAST(t AS INT) AS t, id, round(adoption, 6) AS adoption FROM panel")
 def diffusion_simulate(spark: SparkSession, sf_dir: str, corridors: bool = False) -> DataFrame:
     """Adoption panel of the hierarchical regime."""
-    return _panel(spark, sf_dir, corridors).filter("run = 'hierarchical'").select("t", "id", F.round("adoption", 6).alias("adoption"))
+    return _panel(spark, sf_dir, corridors, ("hierarchical",)).filter("run = 'hierarchical'").select("t", "id", F.round("adoption", 6).alias("adoption"))
 
 
 @query()
@@ -187,6 +187,16 @@ def diffusion_regimes(spark: SparkSession, sf_dir: str, corridors: bool = False)
     return diffusion.shares(_panel(spark, sf_dir, corridors), load(spark, sf_dir, "settlement")).withColumn("share", F.round("share", 6))
 
 
+def _simulated(regime: str) -> str:
+    """The simulation's SQL with another regime's exponents and pull of prestige."""
+    alpha, gamma, prestige = diffusion.REGIMES[regime]
+    pull = f"pow(ap, {alpha}) * pow(bp, {alpha}) / pow(greatest(km * (1 + resistance), 5), {gamma})"
+    return _SIM.replace(_PULL, pull).replace("list(0.6 * (lp", f"list({prestige} * (lp")
+
+
+SQL["diffusion_regimes"] = " UNION ALL ".join(
+    f"SELECT '{r}' AS run, * FROM ({_simulated(r)} SELECT CAST(t AS INT) AS t, round(sum(adoption * population) / sum(population), 6) AS share "
+    "FROM panel JOIN settlement USING (id) GROUP BY t)" for r in diffusion.REGIMES)
 _FIRST = _SIM + ", fi AS (SELECT id, min(CASE WHEN adoption >= 0.5 THEN t END) AS first_t FROM panel GROUP BY id)"
 
 
@@ -194,14 +204,14 @@ _FIRST = _SIM + ", fi AS (SELECT id, min(CASE WHEN adoption >= 0.5 THEN t END) A
 FROM fi JOIN settlement USING (id)""")
 def adoption_order(spark: SparkSession, sf_dir: str, corridors: bool = False) -> DataFrame:
     """When each settlement adopts, in order."""
-    o = diffusion.adoption_order(_panel(spark, sf_dir, corridors), load(spark, sf_dir, "settlement"))
+    o = diffusion.adoption_order(_panel(spark, sf_dir, corridors, ("hierarchical",)), load(spark, sf_dir, "settlement"))
     return o.filter("run = 'hierarchical'").select("id", "first_t", "rank")
 
 
 @query(_SIM + " SELECT CAST(t AS INT) AS t, round(sum(adoption * population) / sum(population), 6) AS share FROM panel JOIN settlement USING (id) GROUP BY t")
 def adoption_share(spark: SparkSession, sf_dir: str, corridors: bool = False) -> DataFrame:
     """Population-weighted adoption of the hierarchical regime."""
-    s = diffusion.shares(_panel(spark, sf_dir, corridors), load(spark, sf_dir, "settlement"))
+    s = diffusion.shares(_panel(spark, sf_dir, corridors, ("hierarchical",)), load(spark, sf_dir, "settlement"))
     return s.filter("run = 'hierarchical'").select("t", F.round("share", 6).alias("share"))
 
 
@@ -212,8 +222,8 @@ FROM fi JOIN settlement USING (id), ori WHERE first_t IS NOT NULL""")
 def diffusion_signature(spark: SparkSession, sf_dir: str, corridors: bool = False) -> DataFrame:
     """Correlation of adoption time with distance and size."""
     s = load(spark, sf_dir, "settlement")
-    order = diffusion.adoption_order(_panel(spark, sf_dir, corridors), s)
-    runs = _origins(spark, sf_dir).select("run", F.col("origin").alias("oid")).join(s.select(F.col("id").alias("oid"), F.col("lon").alias("olon"), F.col("lat").alias("olat")), "oid")
+    order = diffusion.adoption_order(_panel(spark, sf_dir, corridors, ("hierarchical",)), s)
+    runs = _origins(spark, sf_dir, ("hierarchical",)).select("run", F.col("origin").alias("oid")).join(s.select(F.col("id").alias("oid"), F.col("lon").alias("olon"), F.col("lat").alias("olat")), "oid")
     km = s.join(F.broadcast(runs), F.lit(True)).select("run", "id", haversine_km(F.col("lon"), F.col("lat"), F.col("olon"), F.col("olat")).alias("km"))
     g = diffusion.signature(order, s, km).filter("run = 'hierarchical'")
     return g.select("n", F.round("by_distance", 6).alias("by_distance"), F.round("by_size", 6).alias("by_size"))
