@@ -181,6 +181,34 @@ def near_pairs(df: DataFrame, id_column: str, radius: float = 1.0, lon: str = "l
     return both.groupBy(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).agg(F.min("km").alias("km"))
 
 
+def neighbour_sums(df: DataFrame, id_column: str, values: DataFrame, radius: float = 1.0, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """(id, n, total): number of each located id's neighbours within ``radius`` km and the sum of their value.
+
+    ``values``: (id, value), one row per id; null where no neighbour has one. Ids at one place are counted by place, so a
+    crowded place costs no pairs of ids; only ids with several locations are paired one by one, each neighbour once.
+    """
+    at = written(locations(df, id_column, lon, lat).withColumn("place", F.xxhash64("lon", "lat")), "locations")
+    several = written(at.groupBy("id").count().filter("count > 1").select("id"), "several")
+    one = written(at.join(several, "id", "left_anti").join(values.select("id", F.col("value").cast("double").alias("value")), "id", "left").select("id", "place", "value"), "single")
+    pairs = written(radius_pairs(written(at.select("place", "lon", "lat").distinct(), "places"), radius).select("a", "b"), "near")
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    stats = one.groupBy("place").agg(F.count("*").alias("n"), F.count("value").alias("k"), F.sum("value").alias("s"))
+    near = both.join(stats, F.col("b") == F.col("place")).groupBy("a").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"))
+    there = near.unionByName(stats.withColumnRenamed("place", "a")).groupBy("a").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"))
+    own = F.col("value").isNotNull().cast("int")
+    alone = one.join(there, F.col("place") == F.col("a")).select(
+        "id", (F.col("n") - 1).alias("n"), (F.col("k") - own).alias("k"), (F.coalesce("s", F.lit(0.0)) - F.coalesce("value", F.lit(0.0))).alias("s"))
+    # ids with several locations, paired with all others in both directions
+    spots = at.join(several, "id").select(F.col("id").alias("x"), "place").withColumn("near", F.col("place"))
+    reach = spots.select("x", "near").union(spots.join(both, F.col("place") == F.col("a")).select("x", F.col("b").alias("near"))).distinct()
+    met = reach.join(at.select(F.col("id").alias("y"), F.col("place").alias("near")), "near").filter("x <> y").select("x", "y")
+    mixed = met.union(met.select("y", "x")).distinct().join(values.select(F.col("id").alias("y"), F.col("value").cast("double").alias("value")), "y", "left")
+    loose = mixed.groupBy(F.col("x").alias("id")).agg(F.count("*").alias("n"), F.count("value").alias("k"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("s"))
+    sums = alone.unionByName(loose).groupBy("id").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"))
+    ids = at.select("id").distinct().join(sums, "id", "left")
+    return ids.select("id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("k") > 0, F.col("s")).alias("total"))
+
+
 def containing_region(df: DataFrame, id_column: str, regions: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """(id, region): the least id of the regions (id, land) that hold each id's location, null where none does.
 
@@ -191,8 +219,8 @@ def containing_region(df: DataFrame, id_column: str, regions: DataFrame, lon: st
     at = locations(df, id_column, lon, lat)
     lands = without_name_clash(regions, "id", "land").filter("id IS NOT NULL AND land IS NOT NULL").select(F.col("id").alias("region"), "land")
     edge = lambda side, axis: getattr(F, f"array_{side}")(F.transform(F.flatten("land"), lambda p: p[axis])).alias(f"{axis}_{side}")
-    boxed = lands.select("*", *[edge(s, a) for s in ("min", "max") for a in ("x", "y")])
-    vertices = lands.agg(F.coalesce(F.sum(F.size(F.flatten("land"))), F.lit(0))).first()[0]
+    boxed = written(lands.select("*", *[edge(s, a) for s in ("min", "max") for a in ("x", "y")]), "boxes")
+    vertices = boxed.agg(F.coalesce(F.sum(F.size(F.flatten("land"))), F.lit(0))).first()[0]
     inside = (F.col("lon").between(F.col("x_min"), F.col("x_max")) & F.col("lat").between(F.col("y_min"), F.col("y_max"))
               & in_rings(F.col("lon"), F.col("lat"), F.col("land")))
     return at.join(small(boxed, 24, vertices), inside, "left").groupBy("id").agg(F.min("region").alias("region"))

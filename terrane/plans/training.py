@@ -96,13 +96,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each located site with its study area, its number of neighbours within 1 km and their population."""
     seeds = load(spark, sf_dir, "seed_site")
-    pairs = radius_join.near_pairs(seeds, "id")
-    ends = pairs.select(F.inline(F.array(
-        F.struct(F.col("id_a").alias("id"), F.col("id_b").alias("other")), F.struct(F.col("id_b").alias("id"), F.col("id_a").alias("other")))))
-    people = load(spark, sf_dir, "site").select(F.col("id").alias("other"), "population")
-    near = ends.join(people, "other", "left").groupBy("id").agg(F.count("*").alias("n"), F.sum("population").alias("neighbour_population"))
+    people = load(spark, sf_dir, "site").groupBy("id").agg(F.max("population").alias("value"))
+    near = radius_join.neighbour_sums(seeds, "id", people)
     held = radius_join.containing_region(seeds, "id", load(spark, sf_dir, "study_area"))
-    return held.join(near, "id", "left").select("id", "region", F.coalesce("n", F.lit(0)).alias("n_neighbours"), "neighbour_population")
+    return held.join(near, "id", "left").select("id", "region", "n", F.col("total").alias("neighbour_population")).withColumnRenamed("n", "n_neighbours")
 
 
 _P1 = f"""
