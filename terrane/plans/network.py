@@ -332,6 +332,11 @@ def interaction_edges_corridors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("a", "b", *[F.round(c, 6).alias(c) for c in ("km", "effective", "corridor", "weight")], "crossed", "ancestry")
 
 
-#: The same with sites delivered as 0..360 degrees east; the SQL of these leaves longitudes above 180 out.
-for _f in (nearest_place, knn_surface):
+def _turned_sql(table: str) -> str:
+    return f"(SELECT * REPLACE (CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon) FROM {table} WHERE lon BETWEEN -180 AND 360 AND NOT (lon = 0 AND lat = 0))"
+
+
+#: The same with sites delivered as 0..360 degrees east, which the plain ones and their SQL leave out above 180.
+for _f, _table, _alias in ((nearest_place, "site", "a"), (knn_surface, _ONCE, "s")):
     QUERIES[f"{_f.__name__}_turned"] = partial(_f, turned=True)
+    SQL[f"{_f.__name__}_turned"] = SQL[_f.__name__].replace(f"FROM {_table} {_alias},", f"FROM {_turned_sql(_table)} {_alias},")
